@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["trips"]
+MODULES = ["trips", "questions"]
 
 
 def load():

@@ -19,20 +19,24 @@ from velobus.operators.feeds import (
 @query(
     "delay_stats",
     f"""
-WITH {STOPS_SQL}
+WITH {STOPS_SQL},
+spread AS (
+  SELECT *, (known * squares - total * total) / nullif(known * (known - 1), 0) AS variance
+  FROM (SELECT l_orderkey AS trip, count(delay) AS known, sum(delay) AS total,
+               sum(delay * delay) AS squares FROM stops GROUP BY l_orderkey))
 SELECT l_orderkey, CAST(count(*) AS INTEGER) AS stops_count, round(avg(delay), 2) AS avg_delay,
        CAST(max(delay) AS INTEGER) AS max_delay, CAST(min(delay) AS INTEGER) AS min_delay,
-       round(coalesce(var_samp(delay), 0), 2) AS delay_variance,
-       round(coalesce(stddev_samp(delay), 0), 2) AS delay_std_dev,
+       round(coalesce(any_value(variance), 0), 2) AS delay_variance,
+       round(sqrt(coalesce(any_value(variance), 0)), 2) AS delay_std_dev,
        CAST(max(delay) - min(delay) AS INTEGER) AS delay_range,
        CAST(count(*) FILTER (delay = 0) AS INTEGER) AS on_time_stops,
        CAST(count(*) FILTER (delay < 0) AS INTEGER) AS early_stops,
        CAST(count(*) FILTER (delay > 0) AS INTEGER) AS late_stops,
-       round(1 / (1 + coalesce(var_samp(delay), 0)), 3) AS consistency_score,
+       round(1 / (1 + coalesce(any_value(variance), 0)), 3) AS consistency_score,
        round(count(*) FILTER (delay = 0) / count(delay), 3) AS punctuality_ratio,
        coalesce(round(avg(delay) FILTER (delay > 0), 2), 0) AS avg_positive_delay,
        coalesce(round(avg(delay) FILTER (delay < 0), 2), 0) AS avg_negative_delay
-FROM stops GROUP BY l_orderkey
+FROM stops JOIN spread ON trip = l_orderkey GROUP BY l_orderkey
 """,
 )
 def delay_stats(t: Tables):

@@ -13,6 +13,17 @@ def trend_label(rises: Column, falls: Column) -> Column:
     )
 
 
+def _exact_variance(n: Column, total: Column, squares: Column) -> Column:
+    """Sample variance of whole-second delays from integer sums: exact, and the same for every
+    partitioning. Null below two values."""
+    wide = "decimal(38,0)"
+    spread = n.cast("decimal(18,0)") * squares.cast("decimal(19,0)") - (
+        total.cast("decimal(19,0)") * total.cast("decimal(18,0)")
+    )
+    pairs = n.cast("bigint") * (n.cast("bigint") - 1)
+    return F.when(n > 1, spread.cast(wide).cast("double") / pairs.cast("double"))
+
+
 def _statistics(
     stops: Column,
     known: Column,
@@ -61,8 +72,10 @@ def with_delay_statistics(messages: DataFrame, stops: str = "estimated_stops") -
     frame = messages.withColumn("_stops", F.size(listed)).withColumn("_d", delays)
     d = F.col("_d")
     frame = frame.withColumn("_mean", _mean(d))
+    zero = F.lit(0).cast("bigint")
+    total = F.aggregate(d, zero, lambda acc, v: acc + v)
     squares = F.aggregate(
-        d, F.lit(0.0), lambda acc, v: acc + (v - F.col("_mean")) * (v - F.col("_mean"))
+        d, zero, lambda acc, v: acc + v.cast("bigint") * v.cast("bigint")
     )
     # Deltas between neighbours; an empty or one-element list has none.
     deltas = F.zip_with(
@@ -79,7 +92,7 @@ def with_delay_statistics(messages: DataFrame, stops: str = "estimated_stops") -
         mean=F.col("_mean"),
         high=F.array_max(d),
         low=F.array_min(d),
-        variance=F.when(n > 1, squares / (n - 1)),
+        variance=_exact_variance(n, total, squares),
         on_time=F.size(F.filter(d, lambda v: v == 0)),
         early=F.size(early),
         late=F.size(late),
@@ -135,7 +148,8 @@ def delay_statistics(
         F.avg(d).alias("_mean"),
         F.max(d).alias("_high"),
         F.min(d).alias("_low"),
-        F.var_samp(d).alias("_variance"),
+        F.sum(d.cast("bigint")).alias("_total"),
+        F.sum(d.cast("bigint") * d.cast("bigint")).alias("_squares"),
         F.count_if(d == 0).alias("_on_time"),
         F.count_if(d < 0).alias("_early"),
         F.count_if(d > 0).alias("_late"),
@@ -146,6 +160,9 @@ def delay_statistics(
     if position:
         trend = delay_trend(stops, keys, position, delay).select(*keys, "delay_trend")
         raw = raw.join(trend, keys, "left")
+    raw = raw.withColumn(
+        "_variance", _exact_variance(F.col("_known"), F.col("_total"), F.col("_squares"))
+    )
     columns = _statistics(
         *[
             F.col(c)
