@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["trips", "questions"]
+MODULES = ["trips", "records", "questions", "evaluation", "learning"]
 
 
 def load():
