@@ -20,11 +20,11 @@ def turn_pairs(t: Tables):
 
 
 PAIRS_SQL = """
-pairs AS (
+pairs AS MATERIALIZED (
   SELECT u.conv_id || '-' || u.turn AS pair, u.text AS truth, a.text AS answer
   FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn
   WHERE u.role = 'user' AND a.role = 'assistant'),
-words AS (
+words AS MATERIALIZED (
   SELECT pair, regexp_extract_all(lower(truth), '[\\p{L}\\p{N}]+|[^\\s\\p{L}\\p{N}]') AS r,
          regexp_extract_all(lower(answer), '[\\p{L}\\p{N}]+|[^\\s\\p{L}\\p{N}]') AS h FROM pairs)
 """

@@ -109,7 +109,7 @@ def buses_view(t: Tables) -> DataFrame:
         (F.col("o_custkey") % 8).cast("int").alias("cluster_id"),
         (F.col("o_orderstatus") != "F").alias("cluster_prediction_success"),
         F.get(weather, (key % 5).cast("int")).alias("weather_condition"),
-        (F.col("o_totalprice") / 1000).alias("fine_particles_pm2_5"),
+        (F.col("o_totalprice") / 7000).alias("fine_particles_pm2_5"),
         (F.col("o_totalprice") % 35).alias("temperature"),
         (key % 13).cast("double").alias("precip_mm"),
         (key % 37).cast("int").alias("cloud"),
@@ -140,7 +140,7 @@ buses AS (
          o_orderstatus <> 'F' AS cluster_prediction_success,
          CASE o_orderkey % 5 WHEN 0 THEN 'Sunny' WHEN 1 THEN 'Light Rain' WHEN 2 THEN 'Heavy Rain'
                     WHEN 3 THEN 'Mist' ELSE 'Cloudy' END AS weather_condition,
-         o_totalprice / 1000 AS fine_particles_pm2_5, o_totalprice % 35 AS temperature,
+         o_totalprice / 7000 AS fine_particles_pm2_5, o_totalprice % 35 AS temperature,
          CAST(o_orderkey % 13 AS DOUBLE) AS precip_mm, CAST(o_orderkey % 37 AS INTEGER) AS cloud,
          CAST(o_orderkey * 7 % 10 AS DOUBLE) AS visibility_km,
          CAST(stops_count * 3 + o_orderkey % 50 AS INTEGER) AS humidity, avg_delay AS wind_kph,
