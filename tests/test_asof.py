@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from velobus.operators.asof import nearest_join
-from velobus.operators.ordered import hash_rank, previous_value, with_slice
+from velobus.operators.ordered import first_by_hash, previous_value, with_slice
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -77,15 +77,22 @@ def test_previous_value(spark, slices):
     assert {r["i"]: r["before"] for r in found.collect()} == expected
 
 
-def test_hash_rank(spark):
+def test_first_by_hash(spark):
     rows = [(i, "a" if i % 3 else "b") for i in range(500)] + [(1000, None)]
-    found = hash_rank(spark.createDataFrame(rows, "id INT, g STRING"), "id", ["g"], "7", "r", "n")
+    frame = spark.createDataFrame(rows, "id INT, g STRING").repartition(5)
+    found = first_by_hash(frame, "id", ["g"], "7", F.floor((F.col("size") + 4) / 5), "first")
     groups = {}
     for i, g in rows:
         groups.setdefault(g, []).append((hashlib.md5(f"7{i}".encode()).hexdigest(), i))
     expected = {
-        i: (rank, len(members))
+        i: rank < -(-len(members) // 5)
         for members in groups.values()
-        for rank, (_, i) in enumerate(sorted(members), 1)
+        for rank, (_, i) in enumerate(sorted(members))
     }
-    assert {r["id"]: (r["r"], r["n"]) for r in found.collect()} == expected
+    assert {r["id"]: r["first"] for r in found.collect()} == expected
+
+
+def test_null_key_is_no_series(spark):
+    frame = spark.createDataFrame([(None, 1, 5), (None, 2, 6), ("a", 1, 7)], "k STRING, p INT, v INT")
+    found = previous_value(frame, ["k"], F.col("p").cast("bigint"), [], "v", "before", 2)
+    assert {r["before"] for r in found.collect()} == {None}

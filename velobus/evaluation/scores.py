@@ -39,9 +39,12 @@ def bleu(pairs: DataFrame, id_col: str, reference: str, hypothesis: str) -> Data
     The texts are shuffled once by id; n-grams are built and counted behind that exchange, so
     what crosses the network is the text and not its many times larger n-gram list.
     """
+    # A given number of partitions: the planner would merge them by the size of the texts, but
+    # the work behind the exchange is that of the n-grams.
+    width = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = pairs.select(
         id_col, F.col(reference).alias("reference"), F.col(hypothesis).alias("hypothesis")
-    ).repartition(id_col)
+    ).repartition(width, id_col)
     worded = placed.select(
         id_col, tokens(F.col("reference")).alias("r"), tokens(F.col("hypothesis")).alias("h")
     )

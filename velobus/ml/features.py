@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velobus.functions.statistics import most_frequent
-from velobus.operators.ordered import hash_rank
+from velobus.operators.ordered import first_by_hash
 
 TEST_ONE_IN = 5
 SEED = 42
@@ -134,11 +134,10 @@ def split(
 ) -> DataFrame:
     """Mark a fifth of the rows as test, exactly and repeatably; per class when stratified."""
     by = [label] if label else ["_all"]
-    frame = frame if label else frame.withColumn("_all", F.lit(0))
-    ranked = hash_rank(frame, id_col, by, str(seed), "_rank", "_size")
+    marked = frame if label else frame.withColumn("_all", F.lit(0))
     # ceil(size / 5) in whole numbers
-    test = F.col("_rank") * TEST_ONE_IN < F.col("_size") + TEST_ONE_IN
-    return ranked.withColumn("is_test", test).drop("_rank", "_size", "_all")
+    quota = F.floor((F.col("size") + TEST_ONE_IN - 1) / TEST_ONE_IN)
+    return first_by_hash(marked, id_col, by, str(seed), quota, "is_test").drop("_all")
 
 
 class KnownCategory(

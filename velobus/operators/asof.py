@@ -16,26 +16,30 @@ def nearest_times(facts: DataFrame, readings: DataFrame, slices: int | None = No
     Ties go to the earlier reading. Works on distinct times only, so a poll that stamps millions
     of facts alike counts once, and sorts inside equi-depth slices of the merged timeline.
     """
+    # One mark per time: 1 = a fact asks, 2 = a reading is there, 3 = both.
     timeline = (
-        facts.select("t", F.lit(True).alias("asked"), F.lit(None).cast("bigint").alias("read"))
-        .unionByName(readings.select("t", F.lit(False).alias("asked"), F.col("t").alias("read")))
+        facts.select("t", F.lit(1).alias("bit"))
+        .unionByName(readings.select("t", F.lit(2).alias("bit")))
         .where(F.col("t").isNotNull())
         .groupBy("t")
-        .agg(F.max("asked").alias("asked"), F.max("read").alias("read"))
+        .agg(F.bit_or("bit").alias("mark"))
     )
-    sliced = with_slice(timeline, F.col("t"), "slice", slices)
+    # The borders are taken over (t, mark) too, so all three uses read one shuffled timeline.
+    marked = timeline.where(F.col("mark") > 0)
+    sliced = with_slice(marked, F.col("t"), "slice", slices)
+    read = F.when(F.col("mark") >= 2, F.col("t"))
 
     inside = Window.partitionBy("slice")
     near = sliced.select(
         "slice",
         "t",
-        "asked",
-        F.last("read", ignorenulls=True).over(inside.orderBy("t")).alias("before"),
-        F.last("read", ignorenulls=True).over(inside.orderBy(F.desc("t"))).alias("after"),
-    ).where("asked")
+        "mark",
+        F.last(read, ignorenulls=True).over(inside.orderBy("t")).alias("before"),
+        F.last(read, ignorenulls=True).over(inside.orderBy(F.desc("t"))).alias("after"),
+    ).where(F.col("mark") != 2)
 
     # One row per slice: what is known left and right of it.
-    edges = sliced.groupBy("slice").agg(F.max("read").alias("hi"), F.min("read").alias("lo"))
+    edges = sliced.groupBy("slice").agg(F.max(read).alias("hi"), F.min(read).alias("lo"))
     order = Window.orderBy("slice")
     edges = edges.select(
         F.col("slice").alias("edge"),

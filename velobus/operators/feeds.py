@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 
 def keep_last(frame: DataFrame, keys: list[str], position: Column) -> DataFrame:
-    """Keep the row with the highest position per key: a hash aggregation, no sort."""
+    """Keep the row with the highest position per key; one row per key and task is shuffled."""
     rest = [c for c in frame.columns if c not in keys]
     last = frame.groupBy(*keys).agg(F.max_by(F.struct(*rest), position).alias("_last"))
     return last.select(*keys, *[F.col("_last")[c].alias(c) for c in rest])

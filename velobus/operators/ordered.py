@@ -13,15 +13,21 @@ from velobus.session import shuffle_width
 
 
 def with_slice(
-    frame: DataFrame, position: Column, output: str, slices: int | None = None
+    frame: DataFrame,
+    position: Column,
+    output: str,
+    slices: int | None = None,
+    over: DataFrame | None = None,
 ) -> DataFrame:
     """Add the number of the equi-depth slice a row's position (a BIGINT) falls into.
 
-    The borders are quantiles of the position over the frame: one narrow scan, one row of result.
+    The borders are quantiles of the position over the frame (or over ``over``): one narrow scan,
+    one row of result.
     """
     slices = slices or shuffle_width(frame.sparkSession)
     fractions = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    borders = frame.select(F.percentile_approx(position, fractions, F.lit(10 * slices))).scalar()
+    quantiles = F.percentile_approx(position, fractions, F.lit(10 * slices))
+    borders = (frame if over is None else over).select(quantiles).scalar()
     steps = [1 << i for i in reversed(range((slices - 1).bit_length()))]
 
     # Binary search over the borders: each step either jumps over a run of smaller borders or not.
@@ -46,53 +52,74 @@ def previous_value(
     """Add the value of the preceding row of the same key (null for the first row).
 
     The lag runs inside (key, slice); the first row of a slice takes the last value of the key's
-    nearest earlier slice. A key holding a third of all rows is spread over all slices.
+    nearest earlier slice. A key holding a third of all rows is spread over all slices. A row with
+    a null key belongs to no series and gets null.
     """
     part = with_slice(frame, position, "_slice", slices)
     order = F.struct(position.alias("_p"), *[F.col(c) for c in tie_break])
-    inside = Window.partitionBy(*keys, "_slice").orderBy(order)
-    part = part.withColumn("_lag", F.lag(F.struct(value)).over(inside))
-
-    last = part.groupBy(*keys, "_slice").agg(
-        F.max_by(F.struct(value), order).alias("_last")
-    )
+    last = part.groupBy(*keys, "_slice").agg(F.max_by(F.struct(value), order).alias("_last"))
     # One row per (key, slice): at most as many rows per key as there are slices.
     across = Window.partitionBy(*keys).orderBy("_slice")
     on = [*keys, "_slice"]
     carry = last.select(
         *[F.col(c).alias(f"_on_{c}") for c in on], F.lag("_last").over(across).alias("_carry")
-    )
-    joined = part.join(carry, _same(on), "left")
-    return joined.select(*frame.columns, F.coalesce("_lag", "_carry")[value].alias(output))
+    ).where(F.col("_carry").isNotNull())
 
-
-def _same(columns: list[str]) -> Column:
-    return reduce(
-        lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in columns]
-    )
+    # Plain equality keeps the partitioning of the lag, so the big side is shuffled once.
+    inside = Window.partitionBy(*on).orderBy(order)
+    lagged = part.withColumn("_lag", F.lag(F.struct(value)).over(inside))
+    same = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_on_{c}") for c in on])
+    joined = lagged.join(carry, same, "left")
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    before = F.when(known, F.coalesce("_lag", "_carry")[value])
+    return joined.select(*frame.columns, before.alias(output))
 
 
-def hash_rank(
-    frame: DataFrame, id_col: str, by: list[str], seed: str, output: str, total: str
+def first_by_hash(
+    frame: DataFrame, id_col: str, by: list[str], seed: str, quota: Column, output: str
 ) -> DataFrame:
-    """Rank rows inside each group by md5(seed, id), and add the group's size.
+    """Flag the first rows of each group in the order of md5(seed, id).
 
-    md5 spreads ids evenly over 4096 prefixes, so the rank is "rows with a smaller prefix" plus
-    the position inside (group, prefix): a group with a third of all rows is 4096 small sorts.
+    ``quota`` is the number of rows to flag, an expression over "size", the group's row count.
+    Ids are unique. md5 spreads them evenly over 4096 prefixes: counting per (group, prefix) shows
+    in which prefix the quota ends, only that prefix is ranked, and the last flagged id becomes
+    the group's limit. The rows themselves are compared with one limit per group and not shuffled.
     """
-    hashed = frame.withColumn("_md5", F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string"))))
-    hashed = hashed.withColumn("_prefix", F.substring("_md5", 1, 3))
-    counts = hashed.groupBy(*by, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    md5 = F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string")))
+    hashed = frame.withColumn("_md5", md5).withColumn("_prefix", F.substring("_md5", 1, 3))
     whole = Window.partitionBy(*by)
-    on = [*by, "_prefix"]
-    offsets = counts.select(
-        *[F.col(c).alias(f"_on_{c}") for c in on],
-        (F.sum("_n").over(whole.orderBy("_prefix")) - F.col("_n")).alias("_before"),
-        F.sum("_n").over(whole).alias(total),
+    upto = whole.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cuts = (
+        hashed.groupBy(*by, "_prefix")
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .withColumn("_upto", F.sum("_n").over(upto))
+        .withColumn("size", F.sum("_n").over(whole))
+        .withColumn("_quota", quota)
+        .where((F.col("_upto") - F.col("_n") < F.col("_quota")) & (F.col("_upto") >= F.col("_quota")))
+        .select(
+            *[F.col(c).alias(f"_on_{c}") for c in by],
+            F.col("_prefix").alias("_on__prefix"),
+            (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_place"),
+        )
     )
-    inside = Window.partitionBy(*by, "_prefix").orderBy("_md5", id_col)
-    ranked = hashed.withColumn("_rn", F.row_number().over(inside))
-    joined = ranked.join(offsets, _same(on))
-    return joined.select(
-        *frame.columns, total, (F.col("_before") + F.col("_rn")).alias(output)
+    inside = Window.partitionBy(*by).orderBy("_md5", id_col)
+    limits = (
+        hashed.select(*by, id_col, "_md5", "_prefix")
+        .join(cuts, _same([*by, "_prefix"]))
+        .withColumn("_rank", F.row_number().over(inside))
+        .where(F.col("_rank") == F.col("_place"))
+        .select(
+            *[F.col(c).alias(f"_on_{c}") for c in by],
+            F.struct("_md5", F.col(id_col).alias("_id")).alias("_limit"),
+        )
+    )
+    key = F.struct(F.col("_md5"), F.col(id_col).alias("_id"))
+    flag = F.coalesce(key <= F.col("_limit"), F.lit(False))
+    return hashed.join(limits, _same(by), "left").select(*frame.columns, flag.alias(output))
+
+
+def _same(columns: list[str]) -> Column:
+    """Null-safe equality of columns with their "_on_" copies; for small right sides."""
+    return reduce(
+        lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in columns]
     )
