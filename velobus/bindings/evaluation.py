@@ -63,14 +63,14 @@ def bleu_of_turns(t: Tables):
 # "previous diagonal + 1" on a match and of the previous row elsewhere.
 ROUGE_SQL = """
 lcs(pair, step, j, best) AS (
-  SELECT pair, 0, unnest(range(1, len(r) + 1)), 0 FROM words
+  SELECT pair, 0, unnest(range(1, len(h) + 1)), 0 FROM words
   UNION ALL
   SELECT pair, step, j, max(candidate) OVER (PARTITION BY pair ORDER BY j)
   FROM (SELECT l.pair, l.step + 1 AS step, l.j,
-               CASE WHEN w.r[l.j] = w.h[l.step + 1]
+               CASE WHEN w.h[l.j] = w.r[l.step + 1]
                     THEN coalesce(lag(l.best) OVER (PARTITION BY l.pair ORDER BY l.j), 0) + 1
                     ELSE l.best END AS candidate
-        FROM lcs l JOIN words w ON w.pair = l.pair WHERE l.step < len(w.h))),
+        FROM lcs l JOIN words w ON w.pair = l.pair WHERE l.step < len(w.r))),
 longest AS (SELECT pair, max(best) AS n FROM lcs GROUP BY pair)
 """
 

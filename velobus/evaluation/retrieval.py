@@ -22,23 +22,24 @@ def _block(documents: DataFrame, ids: list, matrix: np.ndarray, k: int) -> DataF
     id_type = documents.schema[documents.columns[0]].dataType.simpleString()
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_id = [np.empty(0, dtype=object)] * len(ids)
-        best_sim = [np.empty(0)] * len(ids)
+        best: list = [(np.empty(0, dtype=object), np.empty(0))] * len(ids)
         for batch in batches:
             if batch.empty:
                 continue
             names = batch.iloc[:, 0].to_numpy()
             sims = queries @ unit(np.stack(batch.iloc[:, 1].to_numpy()).astype(np.float64)).T
-            for i in range(len(ids)):
-                all_ids = np.concatenate([best_id[i], names])
-                all_sims = np.concatenate([best_sim[i], sims[i]])
-                order = np.lexsort((all_ids, -all_sims))[:k]
-                best_id[i], best_sim[i] = all_ids[order], all_sims[order]
-        for i, query in enumerate(ids):
-            if len(best_id[i]):
-                yield pd.DataFrame(
-                    {"query": query, "doc": list(best_id[i]), "similarity": best_sim[i]}
-                )
+            # Whatever reaches the k-th best of this batch can still be in the result.
+            place = max(sims.shape[1] - k, 0)
+            limits = np.partition(sims, place, axis=1)[:, place]
+            for i, limit in enumerate(limits):
+                near = np.flatnonzero(sims[i] >= limit)
+                docs = np.concatenate([best[i][0], names[near]])
+                values = np.concatenate([best[i][1], sims[i, near]])
+                order = np.lexsort((docs, -values))[:k]
+                best[i] = docs[order], values[order]
+        for query, (docs, values) in zip(ids, best):
+            if len(docs):
+                yield pd.DataFrame({"query": query, "doc": list(docs), "similarity": values})
 
     found = documents.mapInPandas(nearest, f"query string, doc {id_type}, similarity double")
     ranked = found.withColumn(

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from velobus.sources.tables import unscored_answers
+from velobus.sources.tables import unscored_condition
 
 # Fixed value: a token is a run of letters and digits, or one other visible character.
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
@@ -92,37 +92,38 @@ def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(list(x), list(y)) for x, y in zip(a, b)], dtype="int64")
 
 
+def rouge_l_score(reference: Column, hypothesis: Column) -> Column:
+    """F-measure of the longest common token subsequence, computed in the row."""
+    r, h = tokens(reference), tokens(hypothesis)
+    return F.coalesce(F.try_divide(2.0 * _lcs(r, h), F.size(r) + F.size(h)), F.lit(0.0))
+
+
 def rouge_l(pairs: DataFrame, id_col: str, reference: str, hypothesis: str) -> DataFrame:
-    """(id, rouge_l): F-measure of the longest common token subsequence; no shuffle."""
-    worded = pairs.select(
-        id_col, tokens(F.col(reference)).alias("r"), tokens(F.col(hypothesis)).alias("h")
-    )
-    lcs = worded.withColumn("lcs", _lcs("r", "h"))
-    both = F.size("r") + F.size("h")
-    return lcs.select(
-        id_col, F.coalesce(F.try_divide(2.0 * F.col("lcs"), both), F.lit(0.0)).alias("rouge_l")
-    )
+    """(id, rouge_l); no shuffle."""
+    score = rouge_l_score(F.col(reference), F.col(hypothesis))
+    return pairs.select(id_col, score.alias("rouge_l"))
 
 
 def score_answers(answers: DataFrame, id_col: str = "answer_id") -> DataFrame:
     """A new snapshot of the answers table: unscored answers without error get their scores,
     blank texts keep null scores, all other rows pass unchanged."""
-    def present(c):
-        return F.trim(F.regexp_replace(c, r"\s+", " ")) != ""
 
-    todo = unscored_answers(answers).where(present("ground_truth") & present("llm_response"))
-    texts = todo.select(id_col, "ground_truth", "llm_response")
-    scored = bleu(texts, id_col, "ground_truth", "llm_response").join(
-        rouge_l(texts, id_col, "ground_truth", "llm_response"), id_col
+    def present(c):
+        return F.coalesce(F.regexp_like(c, F.lit(r"\S")), F.lit(False))
+
+    pending = F.coalesce(unscored_condition(), F.lit(False))
+    texts = F.col("ground_truth"), F.col("llm_response")
+    both = present("ground_truth") & present("llm_response")
+    todo = answers.where(pending & both)
+    bleus = bleu(todo, id_col, "ground_truth", "llm_response").withColumnRenamed(id_col, "_id")
+    scored = todo.withColumn("rouge_score", rouge_l_score(*texts)).join(
+        bleus, F.col(id_col) == F.col("_id")
+    )
+    filled = scored.withColumn("bleu_score", F.col("bleu")).select(*answers.columns)
+    blank = answers.where(pending & ~both).withColumns(
+        {c: F.lit(None).cast("double") for c in ("bleu_score", "rouge_score")}
     )
-    pending = unscored_answers(answers).join(scored, id_col, "left")
-    filled = pending.select(
-        *[c for c in answers.columns if c not in ("bleu_score", "rouge_score")],
-        F.col("bleu").alias("bleu_score"),
-        F.col("rouge_l").alias("rouge_score"),
-    ).select(*answers.columns)
-    rest = answers.join(unscored_answers(answers).select(id_col), id_col, "left_anti")
-    return rest.select(*answers.columns).unionByName(filled)
+    return answers.where(~pending).unionByName(blank).unionByName(filled)
 
 
 def record_answers(questions: DataFrame, answers: DataFrame, run_time: Column) -> DataFrame:

@@ -32,43 +32,35 @@ def split_types(frame: DataFrame, columns: list[str]) -> tuple[list[str], list[s
     return [c for c in columns if c not in text], text
 
 
-def fill_values(frame: DataFrame, numeric: list[str], text: list[str]) -> DataFrame:
-    """One row: the mean per numeric column (0 if all null), the mode per text column.
+def fill_values(frame: DataFrame, numeric: list[str], text: list[str]) -> dict:
+    """The mean per numeric column (0 if all null) and the mode per text column.
 
     Modes come from counted values, so no task holds all values of a column.
     """
-    means = frame.agg(
-        *[F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)).alias(c) for c in numeric],
-        F.count(F.lit(1)).alias("_rows"),
-    )
-    if not text:
-        return means.drop("_rows")
-    modes = (
-        frame.select(*text)
-        .unpivot([], text, "_column", "_value")
-        .where(F.col("_value").isNotNull())
-        .groupBy("_column", "_value")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .groupBy("_column")
-        .agg(most_frequent("_value", "_n").alias("_mode"))
-        .agg(
-            *[
-                F.coalesce(
-                    F.max(F.when(F.col("_column") == c, F.col("_mode"))), F.lit("unknown")
-                ).alias(c)
-                for c in text
-            ]
+    fills = {}
+    if numeric:
+        means = [F.avg(F.col(c).cast("double")).alias(c) for c in numeric]
+        row = frame.agg(*means).first()
+        fills |= {c: 0.0 if row[c] is None else row[c] for c in numeric}
+    if text:
+        counted = (
+            frame.select(*text)
+            .unpivot([], text, "column", "value")
+            .where(F.col("value").isNotNull())
+            .groupBy("column", "value")
+            .agg(F.count(F.lit(1)).alias("n"))
         )
-    )
-    return means.withColumns({c: modes.select(c).scalar() for c in text}).drop("_rows")
+        modes = counted.groupBy("column").agg(most_frequent("value", "n").alias("mode"))
+        found = {r["column"]: r["mode"] for r in modes.collect()}
+        fills |= {c: found.get(c, "unknown") for c in text}
+    return fills
 
 
 def impute(frame: DataFrame, columns: list[str]) -> DataFrame:
     """Fill numeric nulls with the mean and text nulls with the mode, then drop what is left."""
     numeric, text = split_types(frame, columns)
-    fills = fill_values(frame, numeric, text).first()
     typed = frame.withColumns({c: F.col(c).cast("double") for c in numeric})
-    return typed.fillna({c: fills[c] for c in numeric + text}).na.drop("any", subset=columns)
+    return typed.fillna(fill_values(frame, numeric, text)).na.drop("any", subset=columns)
 
 
 def known_daylight(value: Column) -> Column:

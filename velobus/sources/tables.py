@@ -68,7 +68,11 @@ def class_training_scan(frame: DataFrame, sector: str, as_of: AsOf = None) -> Da
     )
 
 
-def unscored_answers(answers: DataFrame) -> DataFrame:
-    """Answers without error that still lack a score."""
+def unscored_condition() -> Column:
+    """An answer without error that still lacks a score."""
     lacking = F.col("bleu_score").isNull() | F.col("rouge_score").isNull()
-    return answers.where(lacking & ~F.col("llm_error"))
+    return lacking & ~F.col("llm_error")
+
+
+def unscored_answers(answers: DataFrame) -> DataFrame:
+    return answers.where(unscored_condition())

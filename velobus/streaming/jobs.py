@@ -128,7 +128,7 @@ class Paths:
 def read_environment(spark: SparkSession, path: str) -> DataFrame:
     """The environment table as it is now; empty before its first batch."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.schema(ENVIRONMENT_TABLE).parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], ENVIRONMENT_TABLE)
 
@@ -187,7 +187,8 @@ def run_sector(
         # Written twice, computed once. A lost executor only means computing its part again.
         scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            accepted = scored.where(F.col("summary_sentence") != "")
+            said = F.col("summary_sentence") != ""
+            accepted = scored.where(said)
             feed = tables.documents(accepted, "summary_sentence", F.col("metadata"), workspace)
             tables.write_document_batch(feed, paths.documents, batch_id)
             stored = accepted.drop("metadata").withColumn("timestamp", F.col("event_time"))
@@ -198,7 +199,11 @@ def run_sector(
             lost = dropped.select(
                 F.lit("missing value").alias("reason"), F.to_json(F.struct("*")).alias("record")
             )
-            tables.write_batch(failed.unionByName(lost), paths.quarantine, batch_id)
+            unsaid = scored.where(~said).select(
+                F.lit("no sentence").alias("reason"), F.to_json(F.struct("*")).alias("record")
+            )
+            rejected = failed.unionByName(lost).unionByName(unsaid)
+            tables.write_batch(rejected, paths.quarantine, batch_id)
             counts = scored.agg(
                 F.count(F.lit(1)).alias("scored"),
                 F.count_if("cluster_prediction_success").alias("clustered"),
