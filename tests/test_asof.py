@@ -47,6 +47,11 @@ def test_against_brute_force(spark, slices):
     assert join(spark, facts, readings, slices=slices) == expected
 
 
+def test_stored_map_is_broadcast(spark):
+    facts = [5] * 50 + [400]
+    assert join(spark, facts, [0, 300], stored=True) == [0] * 50 + [300]
+
+
 def test_known_by(spark):
     assert join(spark, [100], [0, 90], known_by=F.lit(at(50))) == [0]
 
@@ -92,6 +97,15 @@ def test_first_by_hash(spark):
     assert {r["id"]: r["first"] for r in found.collect()} == expected
 
 
+def test_copies_of_an_id_stay_together(spark):
+    rows = [(i if i % 3 else 3,) for i in range(300)]
+    frame = spark.createDataFrame(rows, "id INT")
+    found = first_by_hash(frame.withColumn("g", F.lit(1)), "id", ["g"], "7", F.lit(60), "first")
+    flags = {r["id"]: r["first"] for r in found.select("id", "first").distinct().collect()}
+    assert len(flags) == 201
+    assert 60 <= found.where("first").count() <= 160
+
+
 def test_null_key_is_no_series(spark):
     frame = spark.createDataFrame([(None, 1, 5), (None, 2, 6), ("a", 1, 7)], "k STRING, p INT, v INT")
     found = previous_value(frame, ["k"], F.col("p").cast("bigint"), [], "v", "before", 2)

@@ -129,7 +129,8 @@ def split(
     marked = frame if label else frame.withColumn("_all", F.lit(0))
     # ceil(size / 5) in whole numbers
     quota = F.floor((F.col("size") + TEST_ONE_IN - 1) / TEST_ONE_IN)
-    return first_by_hash(marked, id_col, by, str(seed), quota, "is_test").drop("_all")
+    marked = first_by_hash(marked, id_col, by, str(seed), quota, "is_test", few_groups=True)
+    return marked.drop("_all")
 
 
 class KnownCategory(

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velobus.operators.ordered import with_slice
+from velobus.session import work_dir
 
 
 def micros(instant: Column) -> Column:
@@ -65,12 +66,17 @@ def nearest_join(
     reading_order: str | None = None,
     known_by: Column | None = None,
     slices: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Left nearest as-of join without key or tolerance.
 
     Reading columns replace fact columns of the same name. Of several readings with one time the
     one with the smallest ``reading_order`` is used. ``known_by`` drops readings taken later than
     the given instant. With no reading at all the columns are null.
+
+    The facts meet a table of one row per distinct fact time. ``stored`` writes that table to the
+    shared folder first: the planner then knows its size, and where polls stamp many facts alike
+    it is broadcast and the facts are never shuffled.
     """
     if known_by is not None:
         readings = readings.where(F.col(reading_time).cast("timestamp") <= known_by)
@@ -89,6 +95,11 @@ def nearest_join(
     attached = times.join(by_time, times["read"] == by_time["_r"], "left").select(
         F.col("t").alias("_at"), "_env"
     )
+    if stored:
+        spark = facts.sparkSession
+        path = work_dir(spark, "nearest")
+        attached.write.parquet(path)
+        attached = spark.read.schema(attached.schema).parquet(path)
     joined = facts.join(attached, facts["_t"] == attached["_at"], "left")
     kept = [c for c in facts.columns if c != "_t"]
     return joined.select(*kept, *[F.col("_env")[c].alias(c) for c in columns])

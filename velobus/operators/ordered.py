@@ -76,15 +76,23 @@ def previous_value(
 
 
 def first_by_hash(
-    frame: DataFrame, id_col: str, by: list[str], seed: str, quota: Column, output: str
+    frame: DataFrame,
+    id_col: str,
+    by: list[str],
+    seed: str,
+    quota: Column,
+    output: str,
+    few_groups: bool = False,
 ) -> DataFrame:
     """Flag the first rows of each group in the order of md5(seed, id).
 
-    ``quota`` is the number of rows to flag, an expression over "size", the group's row count.
-    Ids are unique. md5 spreads them evenly over 4096 prefixes: counting per (group, prefix) shows
-    in which prefix the quota ends, only that prefix is ranked, and the last flagged id becomes
-    the group's limit. The rows themselves are compared with one limit per group and not shuffled.
+    ``quota`` is the number of rows to flag, an expression over "size", the group's row count; rows
+    sharing an id are flagged together. md5 spreads the ids evenly over 4096 prefixes: counting per
+    (group, prefix) shows in which prefix the quota ends, only that prefix is ranked, and the last
+    flagged id becomes the group's limit. The rows themselves are compared with one limit per
+    group. With ``few_groups`` (class labels) the limits are broadcast and no row is shuffled.
     """
+    small = F.broadcast if few_groups else (lambda side: side)
     md5 = F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string")))
     hashed = frame.withColumn("_md5", md5).withColumn("_prefix", F.substring("_md5", 1, 3))
     whole = Window.partitionBy(*by)
@@ -102,12 +110,22 @@ def first_by_hash(
             (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_place"),
         )
     )
-    inside = Window.partitionBy(*by).orderBy("_md5", id_col)
-    limits = (
+    # Copies of an id count as one row here, however many there are.
+    ids = (
         hashed.select(*by, id_col, "_md5", "_prefix")
-        .join(cuts, _same([*by, "_prefix"]))
-        .withColumn("_rank", F.row_number().over(inside))
-        .where(F.col("_rank") == F.col("_place"))
+        .join(small(cuts), _same([*by, "_prefix"]))
+        .groupBy(*by, "_md5", id_col, "_place")
+        .agg(F.count(F.lit(1)).alias("_copies"))
+    )
+    inside = Window.partitionBy(*by).orderBy("_md5", id_col).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    limits = (
+        ids.withColumn("_rank", F.sum("_copies").over(inside))
+        .where(
+            (F.col("_rank") >= F.col("_place"))
+            & (F.col("_rank") - F.col("_copies") < F.col("_place"))
+        )
         .select(
             *[F.col(c).alias(f"_on_{c}") for c in by],
             F.struct("_md5", F.col(id_col).alias("_id")).alias("_limit"),
@@ -115,7 +133,7 @@ def first_by_hash(
     )
     key = F.struct(F.col("_md5"), F.col(id_col).alias("_id"))
     flag = F.coalesce(key <= F.col("_limit"), F.lit(False))
-    return hashed.join(limits, _same(by), "left").select(*frame.columns, flag.alias(output))
+    return hashed.join(small(limits), _same(by), "left").select(*frame.columns, flag.alias(output))
 
 
 def _same(columns: list[str]) -> Column:
