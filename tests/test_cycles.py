@@ -9,6 +9,7 @@ from tests.test_feeds import departures_document, land
 from tests.test_streaming import bike_message, bus_message, environment_message
 from velobus.ml import cycles, registry
 from velobus.plans import producers
+from velobus.session import wide_records
 from velobus.sinks import tables
 from velobus.sources import topics
 from velobus.streaming import jobs
@@ -43,10 +44,11 @@ def stored(spark, tmp_path, sector, lines):
     weather = jobs.flatten_environment(parsed)
     values = spark.createDataFrame([(json.dumps(m),) for m in lines], "value STRING")
     messages, _ = topics.messages(values, sector.topic)
-    scored, _ = jobs.score_records(sector, messages, weather, {})
     path = str(tmp_path / "stored")
-    rows = scored.drop("metadata").withColumn("timestamp", F.col("event_time"))
-    tables.write_dated_batch(rows.drop("event_time"), path, 0)
+    with wide_records(spark):
+        scored, _ = jobs.score_records(sector, messages, weather, {})
+        rows = scored.drop("metadata").withColumn("timestamp", F.col("event_time"))
+        tables.write_dated_batch(rows.drop("event_time"), path, 0)
     return spark.read.parquet(path)
 
 
@@ -70,7 +72,8 @@ def test_bike_cycles(spark, tmp_path):
     assert reg.status().where("is_new_model_available").count() == 0
     records = table.drop(*[c for c in table.columns if "prediction" in c or "label" in c
                            or "probabilities" in c or c in ("cluster_id", "summary_sentence")])
-    row = jobs.score_bikes(records, models).first()
+    with wide_records(spark):
+        row = jobs.score_bikes(records, models).first()
     assert row["bike_binary_prediction_success"] and row["bike_multiclass_label"]
     assert row["bike_regression_prediction"] >= 0 and row["cluster_id"] is not None
 

@@ -20,6 +20,7 @@ from velobus.schemas import (
     CLUSTER_BUS_FEATURES,
     TRAINING_WINDOW_DAYS,
 )
+from velobus.session import stored_copy, wide_records
 from velobus.sources.tables import AsOf, class_training_scan, cluster_training_scan, training_scan
 
 CLUSTER_MODELS = {
@@ -65,7 +66,9 @@ def cluster_cycle(
     rows = complete_rows(cluster_training_scan(table, sector, as_of), features)
     if rows.isEmpty():
         raise ValueError(f"no complete rows to train {name}")
-    model, quality = clusters.train_clusters(rows, feature_pipeline(rows, features), ks, restarts)
+    with wide_records(table.sparkSession):
+        preparation = feature_pipeline(rows, features)
+        model, quality = clusters.train_clusters(rows, preparation, ks, restarts)
     registry.publish(name, model, quality)
     return quality
 
@@ -99,13 +102,16 @@ def class_cycle(
     cross_validate: bool = False,
 ) -> dict[str, supervised.Trained]:
     """Train the sector's three models and publish those that could be trained."""
-    rows, features = class_rows(table, sector, as_of)
     results = {}
-    for name, kind, label in CLASS_MODELS[sector][3]:
-        trained = supervised.train_best(
-            rows, features, label, kind, "row_key", trees, depth, cross_validate
-        )
-        if trained.model is not None:
-            registry.publish(name, trained.model, trained.quality)
-        results[name] = trained
+    with wide_records(table.sparkSession):
+        rows, features = class_rows(table, sector, as_of)
+        # Three models, and several passes for each, read these rows.
+        rows = stored_copy(rows, "training")
+        for name, kind, label in CLASS_MODELS[sector][3]:
+            trained = supervised.train_best(
+                rows, features, label, kind, "row_key", trees, depth, cross_validate
+            )
+            if trained.model is not None:
+                registry.publish(name, trained.model, trained.quality)
+            results[name] = trained
     return results

@@ -39,7 +39,8 @@ def fill_values(frame: DataFrame, numeric: list[str], text: list[str]) -> dict:
     """
     fills = {}
     if numeric:
-        means = [F.avg(F.col(c).cast("double")).alias(c) for c in numeric]
+        known = [(c, F.col(c).cast("double")) for c in numeric]
+        means = [F.avg(F.when(~F.isnan(value), value)).alias(c) for c, value in known]
         row = frame.agg(*means).first()
         fills |= {c: 0.0 if row[c] is None else row[c] for c in numeric}
     if text:
@@ -57,10 +58,13 @@ def fill_values(frame: DataFrame, numeric: list[str], text: list[str]) -> dict:
 
 
 def impute(frame: DataFrame, columns: list[str]) -> DataFrame:
-    """Fill numeric nulls with the mean and text nulls with the mode, then drop what is left."""
+    """Fill numeric nulls (and NaN) with the mean and text nulls with the mode.
+
+    Every column gets a value, so no row is left to drop.
+    """
     numeric, text = split_types(frame, columns)
     typed = frame.withColumns({c: F.col(c).cast("double") for c in numeric})
-    return typed.fillna(fill_values(frame, numeric, text)).na.drop("any", subset=columns)
+    return typed.fillna(fill_values(frame, numeric, text))
 
 
 def known_daylight(value: Column) -> Column:

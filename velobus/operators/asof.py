@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velobus.operators.ordered import with_slice
-from velobus.session import work_dir
+from velobus.session import stored_copy
 
 
 def micros(instant: Column) -> Column:
@@ -96,10 +96,7 @@ def nearest_join(
         F.col("t").alias("_at"), "_env"
     )
     if stored:
-        spark = facts.sparkSession
-        path = work_dir(spark, "nearest")
-        attached.write.parquet(path)
-        attached = spark.read.schema(attached.schema).parquet(path)
+        attached = stored_copy(attached, "nearest")
     joined = facts.join(attached, facts["_t"] == attached["_at"], "left")
     kept = [c for c in facts.columns if c != "_t"]
     return joined.select(*kept, *[F.col("_env")[c].alias(c) for c in columns])

@@ -2,8 +2,9 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # SQL settings, all changeable at run time. Skewed join partitions are split even when that costs
 # one more exchange: a hot trip, station or hour must not end up in one task.
@@ -52,6 +53,30 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def stored_copy(frame: DataFrame, purpose: str) -> DataFrame:
+    """Write a frame that several jobs read to the shared folder, and read it from there.
+
+    Unlike a cached frame it survives the loss of executors, and its readers fetch only the
+    columns they need.
+    """
+    path = work_dir(frame.sparkSession, purpose)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
+@contextmanager
+def wide_records(spark: SparkSession):
+    """For plans that rework dozens of columns in many steps: the planner would spend minutes
+    deriving null constraints through every alias, and these plans gain nothing from them."""
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shuffle_width(spark: SparkSession, low: int = 8, high: int = 2048) -> int:
     """How many slices to cut ordered data into: one per shuffle partition, within bounds."""
     return max(low, min(high, int(spark.conf.get("spark.sql.shuffle.partitions"))))

@@ -33,6 +33,7 @@ from velobus.schemas import (
     IS_LATE_LABELS,
     UNKNOWN_LABELS,
 )
+from velobus.session import wide_records
 from velobus.sinks import tables
 from velobus.sources.topics import parse
 
@@ -102,7 +103,13 @@ def score_records(
     sector: Sector, messages: DataFrame, environment: DataFrame, models: Models
 ) -> tuple[DataFrame, DataFrame]:
     """(scored rows with sentence and metadata, rows dropped for missing values)."""
-    complete, dropped = split_incomplete(sector.prepare(messages, environment))
+    return finish_records(sector, sector.prepare(messages, environment), models)
+
+
+def finish_records(
+    sector: Sector, prepared: DataFrame, models: Models
+) -> tuple[DataFrame, DataFrame]:
+    complete, dropped = split_incomplete(prepared)
     scored = sector.score(complete, models)
     scored = scored.withColumn("summary_sentence", sector.sentence(scored))
     return scored.withColumn("metadata", sector.metadata(scored)), dropped
@@ -176,34 +183,39 @@ def run_sector(
     then documents and rows are written, in this order. Each sink keeps one folder per batch id,
     so a batch repeated after a failure replaces its own output and nothing is stored twice.
     """
-    spark = values.sparkSession
 
     def process(batch: DataFrame, batch_id: int) -> None:
         models = cache.refresh() if cache else {}
-        environment = read_environment(spark, environment_path)
+        with wide_records(batch.sparkSession):
+            process_batch(batch, batch_id, models)
+
+    def process_batch(batch: DataFrame, batch_id: int, models: Models) -> None:
+        environment = read_environment(batch.sparkSession, environment_path)
         parsed = parse(batch, sector.topic)
         messages = parsed.where(~F.col("bad")).drop("value", "bad")
-        scored, dropped = score_records(sector, messages, environment, models)
-        # Written twice, computed once. A lost executor only means computing its part again.
+        # Read twice (complete and dropped rows), and written twice after scoring. A lost
+        # executor only means computing its part again.
+        prepared = sector.prepare(messages, environment).persist(StorageLevel.MEMORY_AND_DISK)
+        scored, dropped = finish_records(sector, prepared, models)
         scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             said = F.col("summary_sentence") != ""
             accepted = scored.where(said)
             feed = tables.documents(accepted, "summary_sentence", F.col("metadata"), workspace)
             tables.write_document_batch(feed, paths.documents, batch_id)
-            stored = accepted.drop("metadata").withColumn("timestamp", F.col("event_time"))
-            tables.write_dated_batch(stored.drop("event_time"), paths.rows, batch_id)
-            failed = parsed.where("bad").select(
-                F.lit("unreadable").alias("reason"), F.col("value").alias("record")
-            )
-            lost = dropped.select(
-                F.lit("missing value").alias("reason"), F.to_json(F.struct("*")).alias("record")
-            )
-            unsaid = scored.where(~said).select(
-                F.lit("no sentence").alias("reason"), F.to_json(F.struct("*")).alias("record")
+            rows = accepted.drop("metadata").withColumn("timestamp", F.col("event_time"))
+            tables.write_dated_batch(rows.drop("event_time"), paths.rows, batch_id)
+
+            def rejected(rows: DataFrame, reason: str, record: Column) -> DataFrame:
+                return rows.select(F.lit(reason).alias("reason"), record.alias("record"))
+
+            whole = F.to_json(F.struct("*"))
+            quarantine = (
+                rejected(parsed.where("bad"), "unreadable", F.col("value"))
+                .unionByName(rejected(dropped, "missing value", whole))
+                .unionByName(rejected(scored.where(~said), "no sentence", whole))
             )
-            rejected = failed.unionByName(lost).unionByName(unsaid)
-            tables.write_batch(rejected, paths.quarantine, batch_id)
+            tables.write_batch(quarantine, paths.quarantine, batch_id)
             counts = scored.agg(
                 F.count(F.lit(1)).alias("scored"),
                 F.count_if("cluster_prediction_success").alias("clustered"),
@@ -211,6 +223,7 @@ def run_sector(
             tables.write_batch(counts, paths.metrics, batch_id)
         finally:
             scored.unpersist()
+            prepared.unpersist()
 
     stream = values.writeStream.foreachBatch(process).option(
         "checkpointLocation", paths.checkpoint
