@@ -2,7 +2,8 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velobus.operators import feeds
@@ -47,7 +48,10 @@ def environment_messages(
 
 
 def publish(messages: DataFrame, sink: Sink) -> int:
-    """Write the messages and return how many there were, counted while they are written."""
-    seen = Observation("published")
-    sink(messages.observe(seen, F.count(F.lit(1)).alias("messages")))
-    return seen.get["messages"]
+    """Write the messages and return how many there were; the feeds are read once."""
+    kept = messages.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        sink(kept)
+        return kept.count()
+    finally:
+        kept.unpersist()
