@@ -209,6 +209,14 @@ def kmeans_k(t: Tables):
     return t.spark.createDataFrame(rows, "k INT, silhouette DOUBLE, chosen BOOLEAN")
 
 
+@query("kmeans_profile")
+def kmeans_profile(t: Tables):
+    """Centre values per cluster and dimension of a model over all embeddings."""
+    model = clusters.fit_kmeans(_vectors(t), 5, restarts=2)
+    names = [f"dim_{i}" for i in range(len(model.clusterCenters()[0]))]
+    return clusters.cluster_profile(t.embeddings, model, names)
+
+
 BUS_FEATURES = [
     "stops_count", "fine_particles_pm2_5", "temperature", "precip_mm", "cloud", "visibility_km",
     "humidity", "weather_condition",
