@@ -12,7 +12,7 @@ from velobus.session import local_session
 
 
 def main(folder, keys):
-    spark = local_session("8")
+    spark = local_session("8", int(os.environ.get("PARTITIONS", "8")))
     con = connect(folder)
     oracles = entry.oracle_sql()
     bad = 0
