@@ -129,12 +129,10 @@ def split(
     frame: DataFrame, id_col: str, label: str | None = None, seed: int = SEED
 ) -> DataFrame:
     """Mark a fifth of the rows as test, exactly and repeatably; per class when stratified."""
-    by = [label] if label else ["_all"]
-    marked = frame if label else frame.withColumn("_all", F.lit(0))
     # ceil(size / 5) in whole numbers
     quota = F.floor((F.col("size") + TEST_ONE_IN - 1) / TEST_ONE_IN)
-    marked = first_by_hash(marked, id_col, by, str(seed), quota, "is_test", few_groups=True)
-    return marked.drop("_all")
+    by = [label] if label else []
+    return first_by_hash(frame, id_col, by, str(seed), quota, "is_test", few_groups=True)
 
 
 class KnownCategory(

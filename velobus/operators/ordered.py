@@ -90,7 +90,8 @@ def first_by_hash(
     sharing an id are flagged together. md5 spreads the ids evenly over 4096 prefixes: counting per
     (group, prefix) shows in which prefix the quota ends, only that prefix is ranked, and the last
     flagged id becomes the group's limit. The rows themselves are compared with one limit per
-    group. With ``few_groups`` (class labels) the limits are broadcast and no row is shuffled.
+    group (the whole frame without ``by``). With ``few_groups`` (class labels) the limits are
+    broadcast and no row is shuffled.
     """
     small = F.broadcast if few_groups else (lambda side: side)
     md5 = F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string")))
@@ -132,8 +133,12 @@ def first_by_hash(
         )
     )
     key = F.struct(F.col("_md5"), F.col(id_col).alias("_id"))
+    if not by:
+        limited = hashed.withColumn("_limit", limits.select("_limit").scalar())
+    else:
+        limited = hashed.join(small(limits), _same(by), "left")
     flag = F.coalesce(key <= F.col("_limit"), F.lit(False))
-    return hashed.join(small(limits), _same(by), "left").select(*frame.columns, flag.alias(output))
+    return limited.select(*frame.columns, flag.alias(output))
 
 
 def _same(columns: list[str]) -> Column:
