@@ -4,7 +4,18 @@ from pyspark.sql import DataFrame
 
 import corpus_pipeline
 from velobus.bindings.registry import Tables
-from velobus.llm import lpt, pfair, superminhash, templates, toxicity
+from velobus.llm import (
+    archives,
+    linkgraph,
+    lpt,
+    oneperm,
+    pfair,
+    secrets,
+    suffixes,
+    superminhash,
+    templates,
+    toxicity,
+)
 
 QUERIES, ORACLES = {}, {}
 
@@ -24,6 +35,38 @@ def op1(t: Tables) -> DataFrame:
     return superminhash.near_duplicates(t.documents)
 
 
+@query("op2_oneperm_fingerprints")
+def op2(t: Tables) -> DataFrame:
+    return oneperm.fingerprinted(t.documents)
+
+
+@query(
+    "op3_arc_to_warc",
+    """
+    WITH given AS (
+      SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+    digests AS (
+      SELECT page_id, strlen(html) AS payload_bytes, hex,
+             list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               ((('0x' || substr(hex, CAST(5 * i // 4 AS INT) + 1, 2))::INT >> CAST(3 - (5 * i) % 4 AS INT)) & 31) + 1, 1)),
+               'string_agg', '') AS payload_digest,
+             min(page_id) OVER (PARTITION BY html) AS first
+      FROM given)
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM digests
+    """,
+)
+def op3(t: Tables) -> DataFrame:
+    return archives.archived(t.pages)
+
+
+@query("op4_randomness_secrets")
+def op4(t: Tables) -> DataFrame:
+    return secrets.found_secrets(t.documents)
+
+
 @query("op5_nnpu_toxicity")
 def op5(t: Tables) -> DataFrame:
     return toxicity.toxicity(t.documents, t.labels)
@@ -39,11 +82,21 @@ def op7(t: Tables) -> DataFrame:
     return templates.contaminated(t.documents, t.benchmark)
 
 
+@query("op8_linkgraph_urls")
+def op8(t: Tables) -> DataFrame:
+    return linkgraph.judged(t.pages)
+
+
 @query("op9_pfair_mixing")
 def op9(t: Tables) -> DataFrame:
     return pfair.mixed(t.documents)
 
 
+@query("op10_suffix_passages")
+def op10(t: Tables) -> DataFrame:
+    return suffixes.without_repeats(t.documents)
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(t: Tables) -> DataFrame:
     return corpus_pipeline.run(t.spark, t.folder)
