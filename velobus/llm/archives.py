@@ -88,19 +88,20 @@ def blocks(batches: Iterator[pa.RecordBatch], end: bytes, length: Callable[[byte
                 if header is not None:
                     yield opened, header, end.join(parts), False
                 file, opened, header = origin, True, None
-            if header is None:
-                if not value:
+            if header is not None:
+                parts.append(value)
+                have += len(value) + len(end)
+                if have < due:
                     continue
+                block = end.join(parts)
+                yield opened, header, block[:due], True
+                # A block may end in part of a separator; then the next header is in this line.
+                opened, header, value = False, None, block[due:].removeprefix(end)
+            if value:
                 header, parts, have, due = value, [], -len(end), length(value)
                 if not due:
                     yield opened, header, b"", True
                     opened, header = False, None
-                continue
-            parts.append(value)
-            have += len(value) + len(end)
-            if have >= due:
-                yield opened, header, end.join(parts)[:due], True
-                opened, header = False, None
     if header is not None:
         yield opened, header, end.join(parts), False
 
