@@ -24,7 +24,7 @@ def checkpointed(frame: DataFrame) -> DataFrame:
 
 def only(frame: DataFrame, **columns: str) -> DataFrame:
     """The named columns under the operator's own names; whatever else the frame has is left."""
-    return frame.select(*[F.col(f"`{given}`").alias(name) for name, given in columns.items()])
+    return frame.select(*[F.col(given) if given == name else F.col(f"`{given}`").alias(name) for name, given in columns.items()])
 
 
 def partitions(spark: SparkSession) -> int:

@@ -119,7 +119,7 @@ def _repeats(span: int):
         for batch in batches:
             keep = ~np.array(batch.column("again").to_numpy(zero_copy_only=False), bool)
             lead, body, doc, begin, count = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("lead", "body", "doc_id", "begin", "count"))
-            yield _spans(doc[~keep], begin[~keep], count[~keep], np.ones((~keep).sum(), bool))
+            yield _spans(lead[~keep], doc[~keep], begin[~keep], count[~keep], np.ones((~keep).sum(), bool))
             lead, body, doc, begin, count = (c[keep] for c in (lead, body, doc, begin, count))
             fresh = _fresh(before, lead, body, doc, begin)
             lead, body, doc, begin, count = (c[fresh] for c in (lead, body, doc, begin, count))
@@ -145,39 +145,105 @@ def _repeats(span: int):
             only_one = held[3] if held is not None and group[-1] == 0 else None
             if alone and (final & other).any():
                 k = int(np.flatnonzero(final & other)[0])
-                only_one = (doc[k : k + 1], begin[k : k + 1], count[k : k + 1])
+                only_one = tuple(c[k : k + 1] for c in (lead, doc, begin, count))
             held = (lead[-1], body[-1], int(bodies[group[-1]]), only_one if alone else None)
             chosen = ~other | (bodies[group] > 1)
-            yield _spans(doc[chosen], begin[chosen], count[chosen], ~other[chosen])
+            yield _spans(lead[chosen], doc[chosen], begin[chosen], count[chosen], ~other[chosen])
         if held is not None and held[3] is not None:
             yield _spans(*held[3], np.zeros(1, bool))
 
-    def _spans(doc, begin, count, repeated):
-        columns = [pa.array(doc), pa.array(begin), pa.array(begin + count + span - 1), pa.array(repeated)]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "begin", "end", "repeated"])
+    def _spans(lead, doc, begin, count, repeated):
+        columns = [pa.array(lead), pa.array(doc), pa.array(begin), pa.array(begin + count + span - 1), pa.array(repeated)]
+        return pa.RecordBatch.from_arrays(columns, names=["lead", "doc_id", "begin", "end", "repeated"])
 
     return run
 
 
-def _strings(span: int):
-    """The single strings of the stretches in question, by hash."""
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the stretches in question."""
+    for batch in batches:
+        ids = batch.column("doc_id").to_pylist()
+        data, starts = text_run(batch.column("text"))
+        rows: list[tuple] = []
+        for k, parts in enumerate(batch.column("parts").to_pylist()):
+            low, high = int(starts[k]), int(starts[k + 1])
+            for part in parts:
+                rows.append((part["lead"], ids[k], part["begin"], data[low + part["begin"] : min(high, low + part["end"])].tobytes()))
+            if len(rows) > 20_000:
+                yield _body_rows(rows)
+                rows = []
+        yield _body_rows(rows)
+
+
+def _body_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in range(4)], names=["lead", "doc_id", "begin", "body"])
+
+
+def _strings(table: pa.Table, span: int) -> tuple[np.ndarray, ...]:
+    """Row, place in the document and hash of every string of the rows' bodies."""
+    run, starts = text_run(table.column("body"))
+    sums, inverse = prefix_sums(run)
+    count = np.maximum(np.diff(starts) - span + 1, 0)
+    row = np.repeat(np.arange(len(count)), count)
+    offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    at = starts[row] + offset
+    return row, table.column("begin").to_numpy()[row] + offset, span_hashes(sums, inverse, at, at + span)
+
+
+def _matched(span: int, limit: int):
+    """Over stretches sorted by anchor: the strings that an earlier stretch of the same anchor has.
+
+    Anchors with more than ``limit`` stretches pass their strings on by hash, to be sorted by
+    themselves: no anchor is ever held whole.
+    """
+
+    def settle(table: pa.Table) -> pa.RecordBatch:
+        row, place, key = _strings(table, span)
+        lead, doc = (table.column(c).to_numpy()[row] for c in ("lead", "doc_id"))
+        order = np.lexsort((np.arange(len(row)), key, lead))
+        new = np.ones(len(order), bool)
+        new[1:] = (lead[order][1:] != lead[order][:-1]) | (key[order][1:] != key[order][:-1])
+        first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        again = np.zeros(len(row), bool)
+        again[order] = (doc[order] != doc[first]) | (place[order] != place[first])
+        row, place, doc = row[again], place[again], doc[again]
+        cut = np.flatnonzero(np.concatenate([np.ones(min(1, len(row)), bool), (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)]))
+        end = np.append(cut[1:], len(row))[: len(cut)] - 1
+        none = pa.nulls(len(cut), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, pa.array(doc[cut]), pa.array(place[cut]), pa.array(place[end] + span)], names=["lead", "body", "doc_id", "begin", "end"])
+
+    def passed(table: pa.Table) -> pa.RecordBatch:
+        row, place, key = _strings(table, span)
+        lead, doc = (table.column(c).to_numpy()[row] for c in ("lead", "doc_id"))
+        return pa.RecordBatch.from_arrays([pa.array(lead), pa.array(key.view(np.int64)), pa.array(doc), pa.array(place), pa.array(place + span)], names=["lead", "body", "doc_id", "begin", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, large = None, None
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            data, starts = text_run(batch.column("text"))
-            for k, parts in enumerate(batch.column("parts").to_pylist()):
-                text = data[starts[k] : starts[k + 1]]
-                for part in parts:
-                    low, high = part["begin"], min(part["end"], len(text))
-                    if high - low < span:
-                        continue
-                    sums, inverse = prefix_sums(text[low:high])
-                    n = high - low - span + 1
-                    at = np.arange(n)
-                    first = span_hashes(sums, inverse, at, at + span)
-                    second = mix(first + span_hashes(sums, inverse, at, at + span // 2), 11)
-                    yield pa.RecordBatch.from_arrays([pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(np.full(n, ids[k])), pa.array(at + low)], names=["lead", "body", "doc_id", "begin"])
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+            if not table.num_rows:
+                continue
+            lead = table.column("lead").to_numpy()
+            if large is not None:  # the rest of an anchor that has begun to pass on
+                more = int(np.searchsorted(lead, large, side="right"))
+                if more:
+                    yield passed(table.slice(0, more).combine_chunks())
+                table, lead = table.slice(more).combine_chunks(), lead[more:]
+                held = None
+                if not len(lead):
+                    continue
+                large = None
+            last = int(np.searchsorted(lead, lead[-1]))
+            if last:
+                yield settle(table.slice(0, last).combine_chunks())
+            held = table.slice(last).combine_chunks()
+            if held.num_rows > limit:
+                yield passed(held)
+                held, large = None, lead[-1]
+        if held is not None and held.num_rows:
+            yield settle(held)
 
     return run
 
@@ -238,27 +304,31 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(r, k) for r, k in zip(rows, kinds, strict=True)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, span: int = 100, gram: int = 32) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, span: int = 100, gram: int = 32, limit: int = 4_096) -> tuple[DataFrame, DataFrame]:
     """Byte spans (doc_id, begin, end) whose every string of ``span`` bytes occurs earlier, and the
     documents by doc_id as they were joined.
 
     Sampled splitters of Spark's range partitioning divide the suffixes, each partition sorts its
     own, and neighbours in the order are compared. A stretch equal to the one before is repeated as
     a whole. Stretches that share an anchor but not their bytes, where passages begin and end, are
-    taken apart into their single strings, which are sorted and compared in the same way.
+    taken apart into their single strings: within the task that has the anchor's stretches, or if
+    there are more than ``limit``, each string for itself, sorted and compared in the same way.
     """
     width = partitions(docs.sparkSession)
     known = docs.where("doc_id is not null")
     suffixes = known.mapInArrow(_suffixes(span, gram), "head long, lead long, body long, doc_id long, begin long, count int, again boolean")
     order = ["head", "lead", "body"]
     ranged = suffixes.repartitionByRange(width, *order).sortWithinPartitions(*order, "doc_id", "begin")
-    found = checkpointed(ranged.mapInArrow(_repeats(span), "doc_id long, begin long, end long, repeated boolean"))
+    found = checkpointed(ranged.mapInArrow(_repeats(span), "lead long, doc_id long, begin long, end long, repeated boolean"))
     by_id = known.repartition(width, "doc_id")
-    doubtful = found.where("not repeated").groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("parts"))
-    strings = by_id.join(doubtful, "doc_id").mapInArrow(_strings(span), "lead long, body long, doc_id long, begin long")
-    placed = strings.repartition(width, "lead").sortWithinPartitions("lead", "body", "doc_id", "begin")
-    single = placed.mapInArrow(_seen(span), "doc_id long, begin long, end long")
-    return found.where("repeated").select("doc_id", "begin", "end").union(single), by_id
+    doubtful = found.where("not repeated").groupBy("doc_id").agg(F.collect_list(F.struct("lead", "begin", "end")).alias("parts"))
+    bodies = by_id.join(doubtful, "doc_id").select("doc_id", "text", "parts").mapInArrow(_bodies, "lead long, doc_id long, begin long, body binary")
+    placed = bodies.repartition(width, "lead").sortWithinPartitions("lead", "doc_id", "begin")
+    matched = placed.mapInArrow(_matched(span, limit), "lead long, body long, doc_id long, begin long, end long")
+    strings = matched.where("body is not null").repartition(width, "lead", "body").sortWithinPartitions("lead", "body", "doc_id", "begin")
+    single = strings.select("lead", "body", "doc_id", "begin").mapInArrow(_seen(span), "doc_id long, begin long, end long")
+    spans = [f.select("doc_id", "begin", "end") for f in (found.where("repeated"), matched.where("body is null"), single)]
+    return spans[0].union(spans[1]).union(spans[2]), by_id
 
 
 def without_repeats(docs: DataFrame, span: int = 100, gram: int = 32, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
