@@ -90,24 +90,41 @@ def _sign(bands: int, rows: int, size: int):
 
 
 def _verify(percent: int, size: int):
+    """Of each pair (a, b): the sizes of b and of what both share, whether they are linked, and for
+    crowded pairs the first of b's shingles that a lacks, in the order of their hashes.
+
+    A text c linked with b has at least percent / 100 of b's size, so b and c share at least that
+    many shingles less those that b shares with a, among the ones that a lacks: if they share any
+    number t of those, the first |rest| - t + 1 of b and of c have one in common.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
-            n = batch.num_rows
             right = [s for *_, found, of, sizes in shingle_sets(batch.column("text_b"), size) for s in np.split(found, np.cumsum(sizes)[:-1])]
-            a = batch.column("a").to_pylist()
-            keep = np.zeros(n, bool)
-            for i in range(n):
-                if a[i] != held[0]:  # rows of one a come together
-                    (_, _, found, _, _), = shingle_sets(batch.column("text_a").slice(i, 1), size)
-                    held = (a[i], found)
-                both = len(np.intersect1d(held[1], right[i], assume_unique=True))
-                keep[i] = 100 * both >= percent * (len(held[1]) + len(right[i]) - both)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"])
+            rows = []
+            for i, (a, b, crowded) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "crowded")), strict=True)):
+                if a != held[0]:  # rows of one a come together
+                    (*_, found, _, _), = shingle_sets(batch.column("text_a").slice(i, 1), size)
+                    held = (a, found)
+                own = right[i]
+                rest = np.setdiff1d(own, held[1], assume_unique=True)
+                both = len(own) - len(rest)
+                linked = 100 * both >= percent * (len(held[1]) + len(own) - both)
+                needed = max(1, -(-percent * len(own) // 100) - both)
+                rows.append((a, b, len(own), both, linked, rest[: max(0, len(rest) - needed + 1)].view(np.int64) if crowded else None))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in range(6)], names=["a", "b", "n", "shared", "linked", "rest"])
 
     return run
 
 
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """_verify() of pairs (a, b, crowded)."""
+    both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+    return checkpointed(both.select("a", "b", "crowded", "text_a", "text_b").mapInArrow(_verify(percent, size), "a long, b long, n long, shared long, linked boolean, rest array<long>"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 25, rows: int = 5, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row of ``docs``.
 
@@ -116,10 +133,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 25, rows: i
     100 * shared >= percent * union, components are named by their smallest doc_id, and that
     document is kept. With the defaults a pair at the limit shares no band with probability 4e-7.
 
-    Work on candidates goes by classes of equal sets, never by copies. A band's bucket is not
-    expanded into pairs: some of its members lead, each other member is compared with the leaders
-    outside its component, and leaders then leave. Buckets of one component are done; the others
-    go on with twice as many leaders, until no two components share a bucket.
+    Work on candidates goes by classes of equal sets, never by copies, and a band's bucket is not
+    expanded into pairs. Its hub, the member that meets most others in all its buckets, is compared
+    with every member. Two members linked with the hub need no more. If x is not, then it can only
+    be linked with a y that shares a shingle which the hub lacks, or that is so small that
+    85 * (|x| + |y|) <= 185 * |x and hub| (for 85 percent): the shingles that a hub lacks form
+    buckets of their own. In those, some members lead, the others are compared with the leaders
+    outside their component, and leaders then leave; a bucket of one component is done, the rest go
+    on with twice as many leaders.
 
     Null or blank texts have n_shingles 0 and are linked with nothing. Rows with a null doc_id are
     linked with nothing and kept, with a null component_id. Repeated doc_ids count as one vertex.
@@ -139,32 +160,49 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 25, rows: i
     texts = docs.where("doc_id is not null").join(bucket.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     texts = checkpointed(texts.groupBy("doc_id").agg(F.max("text").alias("text")))
 
-    root = None  # (node, root) of the components found so far
-    edges = spark.createDataFrame([], "a long, b long")
+    # Every bucket's hub meets its members.
+    mass = bucket.groupBy("rep").agg(F.sum("size").alias("mass"))
+    hubs = bucket.join(mass, "rep").groupBy("key").agg(F.max(F.struct("mass", (-F.col("rep")).alias("r"))).alias("hub"))
+    star = bucket.join(hubs, "key").select((-F.col("hub.r")).alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+    star = checkpointed(star)
+    crowd = star.groupBy("a").agg((F.count("*") > 1).alias("crowded"))
+    met = _verified(star.join(crowd, "a"), texts, percent, size)
+    edges = met.where("linked").select("a", "b")
+    root = checkpointed(components(edges))
+
+    # What can still be linked: members that share what their hub lacks, or small ones.
+    beside = met.select("a", "b", "n", "linked", F.explode("rest").alias("s")).select(F.xxhash64("a", "s").alias("key"), F.col("b").alias("rep"), "n", "linked")
+    some = beside.groupBy("key").agg(F.count("*").alias("size"), F.bool_and("linked").alias("done")).where("size > 1 and not done")
+    bucket = checkpointed(beside.join(some, "key").select("key", "rep", "n"))
+    far = met.where("not linked and rest is not null").select("a", F.col("b").alias("x"), F.floor((100 + percent) * F.col("shared") / percent - F.col("n")).alias("most"), F.ceil(percent * F.col("n") / 100).alias("least"))
+    small = met.select("a", F.col("b").alias("y"), F.col("n").alias("ny")).join(far.where("most >= least"), "a").where("x <> y and ny <= most and ny >= least")
+    extra = small.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     leaders = 1
     while True:
-        now = bucket.withColumn("root", F.col("rep"))
-        if root is not None:
-            now = bucket.join(root.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        named = root.withColumnRenamed("node", "rep")
+        now = bucket.join(named, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
         state = now.groupBy("key").agg(F.count("*").alias("left"), F.min("rep").alias("least"), F.min("root").alias("low"), F.max("root").alias("high"))
         now = now.join(state.where("low <> high"), "key")
         lead = (F.col("rep") == F.col("least")) | (F.pmod(F.xxhash64("rep", F.lit(leaders)), F.col("left")) < leaders - 1)
-        now = checkpointed(now.select("key", "rep", "root", lead.alias("leads")))
-        if now.isEmpty():
+        now = checkpointed(now.select("key", "rep", "n", "root", lead.alias("leads")))
+        led = now.where("leads").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+        alike = f"root <> rx AND 100 * least(n, nx) >= {percent} * greatest(n, nx)"  # else too unlike in size
+        pairs = now.join(led, "key").where(alike).select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
+        if leaders == 1:
+            pairs = pairs.union(extra).distinct()
+        pairs = checkpointed(pairs.join(tested, ["a", "b"], "left_anti"))
+        if pairs.isEmpty() and now.isEmpty():
             break
-        led = now.where("leads").select("key", F.col("rep").alias("x"), F.col("root").alias("rx"))
-        pairs = now.join(led, "key").where("root <> rx").select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
-        left = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-        found = left.select("a", "b", "text_a", "text_b").mapInArrow(_verify(percent, size), "a long, b long")
-        edges = checkpointed(edges.union(found))
-        root = checkpointed(components(edges))
-        bucket = now.where("not leads").select("key", "rep")
+        tested = tested.union(pairs)
+        found = _verified(pairs.withColumn("crowded", F.lit(False)), texts, percent, size).where("linked").select("a", "b")
+        if not found.isEmpty():
+            edges = edges.union(found)
+            root = checkpointed(components(edges))
+        bucket = now.where("not leads").select("key", "rep", "n")
         leaders *= 2
-    if root is not None:
-        classes = classes.join(root.withColumnRenamed("node", "rep"), "rep", "left")
-        classes = classes.select(*mark, F.coalesce("root", "rep").alias("component_id"))
-    else:
-        classes = classes.withColumnRenamed("rep", "component_id")
+    classes = classes.join(root.withColumnRenamed("node", "rep"), "rep", "left")
+    classes = classes.select(*mark, F.coalesce("root", "rep").alias("component_id"))
     out = signed.select("doc_id", *mark).join(classes, mark, "left")
     own = F.coalesce("component_id", "doc_id")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), own))
