@@ -13,13 +13,13 @@ PATTERNS = {
     # Runs that are long enough are the matches of the open patterns that are not dropped.
     "access": r"AKIA[A-Z0-9]{12,}",
     "hex": r"[0-9a-f]{32,}",
-    "random": r"[A-Za-z0-9+/_=-]{20,}",
+    "random": r"[A-Za-z0-9+/_-]{20,}={0,2}",
 }
 NEEDED = {
     "assign": r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{8}""",
     "access": r"AKIA[A-Z0-9]{12}",
     "hex": r"[0-9a-f]{32}",
-    "random": r"[A-Za-z0-9+/_=-]{20}",
+    "random": r"[A-Za-z0-9+/_-]{20}",
 }
 # Encodings by the first alphabet that holds all characters.
 ALPHABETS = (
@@ -31,7 +31,7 @@ ALPHABETS = (
     "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
-    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_=",
+    "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 )
 # The approximation 26.2.17 of the normal distribution in Abramowitz and Stegun.
 TAIL = (0.2316419, 0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
