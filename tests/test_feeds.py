@@ -5,17 +5,34 @@ import json
 from pyspark.sql import functions as F
 
 from velobus.operators import feeds
+from velobus.plans import producers
 from velobus.operators.records import replace_nulls, rename_columns, split_incomplete
 from velobus.sources import feeds as sources
 
 
-def land(folder, name, document):
+def land(folder, name, document, poll=0):
     target = folder / name
     target.mkdir(exist_ok=True)
-    (target / "0.json").write_text(json.dumps(document))
+    (target / f"{poll}.json").write_text(json.dumps(document))
     return str(target)
 
 
+def test_polls_stay_apart(spark, tmp_path):
+    """Files 9 and 10: by name 10 comes first, by time 9; neither poll sees the other's rows."""
+    for poll, lat, delay in ((9, 1.0, 20), (10, 99.0, 120), (11, 5.0, None)):
+        stop = {"vehicleId": 7, "tripId": 1, "routeId": 5, "headsign": "X", "delayInSeconds": delay}
+        gps = land(tmp_path, "gps", {"vehicles": [{"vehicleId": 7, "lat": lat}]}, poll)
+        stops = land(tmp_path, "stops", {"20": {"departures": [stop]}}, poll)
+        info = land(tmp_path, "info", {"data": {"stations": [{"station_id": "s", "name": "N"}]}}, poll)
+        bikes = {"data": {"stations": [{"station_id": "s", "num_bikes_available": poll}]}}
+        status = land(tmp_path, "status", bikes, poll)
+    buses = producers.bus_messages(spark, gps, stops, F.lit(1)).collect()
+    found = sorted((r["lat"], [(s["stop_id"], s["delay"]) for s in r["estimated_stops"]]) for r in buses)
+    assert found == [(1.0, [("20", 20)]), (5.0, [("20", None)]), (99.0, [("20", 120)])]
+    stations = producers.station_messages(spark, info, status, None, F.lit(1)).collect()
+    assert sorted(r["bikes_available"] for r in stations) == [9, 10, 11]
+
+
 def test_station_merge(spark, tmp_path):
     info = land(tmp_path, "info", {"data": {"stations": [
         {"station_id": "s1", "name": "GDA001", "capacity": 10},

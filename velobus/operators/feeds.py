@@ -60,13 +60,18 @@ def merge_stations(
     status_position: Column,
     prefix: str | None,
     ingest_ts: Column | None = None,
+    snapshot: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Station info left-joined to the last status per station, with defaults."""
-    latest = keep_last(status, ["station_id"], status_position)
+    """Station info left-joined to the last status per station, with defaults.
+
+    ``snapshot`` names the columns that tell polls apart: each poll is merged within itself.
+    """
+    keys = [*snapshot, "station_id"]
+    latest = keep_last(status, keys, status_position)
     ingest_ts = F.unix_timestamp() if ingest_ts is None else ingest_ts
     zero = F.lit(0)
     no_types = F.create_map().cast("map<string,int>")
-    merged = info.join(latest, "station_id", "left").select(
+    merged = info.join(latest, keys, "left").select(
         ingest_ts.cast("bigint").alias("timestamp"),
         "station_id",
         F.coalesce("name", F.lit("Brak nazwy")).alias("name"),
@@ -81,25 +86,32 @@ def merge_stations(
 
 
 def attach_positions(
-    departures: DataFrame, positions: DataFrame, position_order: Column
+    departures: DataFrame,
+    positions: DataFrame,
+    position_order: Column,
+    snapshot: tuple[str, ...] = (),
 ) -> DataFrame:
     """Departures left-joined to the last vehicle position; rows without vehicle or trip go.
 
-    Zero is no vehicle id. The vehicle's own headsign wins when it is not empty.
+    Zero is no vehicle id. The vehicle's own headsign wins when it is not empty. Within the columns
+    of ``snapshot``, departures only meet positions of their own poll.
     """
-    latest = keep_last(positions, ["vehicleId"], position_order).withColumnRenamed(
+    keys = [*snapshot, "vehicleId"]
+    latest = keep_last(positions, keys, position_order).withColumnRenamed(
         "headsign", "_position_headsign"
     )
     valid = departures.where(
         F.col("vehicleId").isNotNull() & (F.col("vehicleId") != 0) & F.col("tripId").isNotNull()
     )
-    joined = valid.join(latest, "vehicleId", "left")
+    joined = valid.join(latest, keys, "left")
     shown = F.coalesce(F.nullif("_position_headsign", F.lit("")), F.col("headsign"))
     return joined.withColumn("headsign", shown).drop("_position_headsign")
 
 
-def trip_messages(located: DataFrame, ingest_ts: Column | None = None) -> DataFrame:
-    """One bus message per (vehicle, trip) with its stops in feed order.
+def trip_messages(
+    located: DataFrame, ingest_ts: Column | None = None, snapshot: tuple[str, ...] = ()
+) -> DataFrame:
+    """One bus message per (poll, vehicle, trip) with its stops in feed order.
 
     ``located`` has the departure columns, the position columns and ``ord``, the place of the
     departure in the feed. Scalar fields come from the trip's first departure. A message holds
@@ -117,7 +129,7 @@ def trip_messages(located: DataFrame, ingest_ts: Column | None = None) -> DataFr
         F.col("theoreticalTime").alias("scheduled_departure"),
     )
     ingest_ts = F.unix_timestamp() if ingest_ts is None else ingest_ts
-    grouped = located.groupBy("vehicleId", "tripId").agg(
+    grouped = located.groupBy(*snapshot, "vehicleId", "tripId").agg(
         first.alias("f"), F.array_sort(F.collect_list(stop)).alias("stops")
     )
     return grouped.select(

@@ -10,6 +10,7 @@ from velobus.operators import feeds
 from velobus.sources import feeds as documents
 
 Sink = Callable[[DataFrame], None]
+POLL = ("poll",)
 
 
 def station_messages(
@@ -19,10 +20,11 @@ def station_messages(
     prefix: str | None,
     ingest_ts: Column | None = None,
 ) -> DataFrame:
-    """Stations with the name prefix, ordered by name as the topic expects them."""
+    """Stations of every poll with the name prefix, ordered by name as the topic expects them."""
     info = documents.station_info(documents.read_documents(spark, info_path))
     status = documents.station_status(documents.read_documents(spark, status_path))
-    merged = feeds.merge_stations(info.drop("ord"), status, F.col("ord"), prefix, ingest_ts)
+    place = F.col("ord")
+    merged = feeds.merge_stations(info.drop("ord"), status, place, prefix, ingest_ts, POLL)
     return merged.orderBy("name")
 
 
@@ -32,12 +34,12 @@ def bus_messages(
     departures_path: str,
     ingest_ts: Column | None = None,
 ) -> DataFrame:
-    """One message per vehicle and trip with its stops in feed order."""
+    """One message per poll, vehicle and trip with its stops in feed order."""
     positions = documents.vehicle_positions(documents.read_documents(spark, positions_path))
     departures = documents.departures(documents.read_documents(spark, departures_path))
     positions = positions.withColumnRenamed("ord", "seen")
-    located = feeds.attach_positions(departures, positions, F.col("seen"))
-    return feeds.trip_messages(located, ingest_ts)
+    located = feeds.attach_positions(departures, positions, F.col("seen"), POLL)
+    return feeds.trip_messages(located, ingest_ts, POLL)
 
 
 def environment_messages(

@@ -13,21 +13,27 @@ from velobus.schemas import (
 
 
 def read_documents(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """One row per landed file: its text in "value", its path in "file"."""
+    """One row per landed file: its text in "value", its path in "file", its poll in "poll".
+
+    The files that one poll lands carry its number (the poll's epoch seconds) at the start of
+    their names, in every feed; a file without a number belongs to poll -1.
+    """
+    path_of = F.col("_metadata.file_path")
+    number = F.regexp_extract(path_of, "/([0-9]+)[^/]*$", 1).try_cast("bigint")
+    poll = F.coalesce(number, F.lit(-1)).alias("poll")
     if stream:
         # A file stream needs its schema up front; a whole-text file is one string column.
         reader = spark.readStream.schema("value STRING").option("wholetext", True)
-        return reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+        return reader.text(path).select("value", path_of.alias("file"), poll)
     reader = spark.read.option("wholetext", True)
-    return reader.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return reader.text(path).select("value", path_of.alias("file"), poll)
 
 
 def _listed(documents: DataFrame, schema: str, path: str) -> DataFrame:
     """The elements of one array of the document with their place; no array gives no row."""
-    parsed = documents.select("file", F.from_json("value", schema).alias("doc"))
-    return parsed.select("file", F.posexplode(f"doc.{path}").alias("place", "item")).select(
-        F.struct("file", "place").alias("ord"), "item.*"
-    )
+    parsed = documents.select("poll", "file", F.from_json("value", schema).alias("doc"))
+    items = parsed.select("poll", "file", F.posexplode(f"doc.{path}").alias("place", "item"))
+    return items.select("poll", F.struct("file", "place").alias("ord"), "item.*")
 
 
 def station_info(documents: DataFrame) -> DataFrame:
@@ -44,17 +50,19 @@ def vehicle_positions(documents: DataFrame) -> DataFrame:
 
 def departures(documents: DataFrame) -> DataFrame:
     """Departures of all stops; ``ord`` is (file, stop place, departure place) in feed order."""
-    parsed = documents.select("file", F.from_json("value", DEPARTURES_MAP).alias("stops"))
+    parsed = documents.select("poll", "file", F.from_json("value", DEPARTURES_MAP).alias("stops"))
     stops = parsed.select(
-        "file", F.posexplode(F.map_entries("stops")).alias("stop_place", "stop")
+        "poll", "file", F.posexplode(F.map_entries("stops")).alias("stop_place", "stop")
     )
     each = stops.select(
+        "poll",
         "file",
         "stop_place",
         F.col("stop.key").alias("stop_id"),
         F.posexplode("stop.value.departures").alias("place", "d"),
     )
-    return each.select(F.struct("file", "stop_place", "place").alias("ord"), "stop_id", "d.*")
+    order = F.struct("file", "stop_place", "place").alias("ord")
+    return each.select("poll", order, "stop_id", "d.*")
 
 
 def weather(documents: DataFrame) -> DataFrame:
