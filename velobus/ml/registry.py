@@ -5,6 +5,9 @@ start-up or between batches by appending the same version without the flag. Noth
 updated in place, so a reader never meets a half-swapped model.
 """
 
+import logging
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ from pyspark.errors import AnalysisException
 from velobus.operators.feeds import latest_per_key
 from velobus.schemas import MODEL_NAMES, REGISTRY_TABLE
 
+LOG = logging.getLogger(__name__)
 COLUMNS = ["version", "quality_metric", "path", "is_new_model_available", "last_updated"]
 
 
@@ -47,9 +51,12 @@ class Registry:
         self.table = f"{self.root}/registry"
 
     def versions(self) -> DataFrame:
+        """The registry's rows; only a registry that was never written counts as empty."""
         try:
             return self.spark.read.schema(REGISTRY_TABLE).parquet(self.table)
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             return self.spark.createDataFrame([], REGISTRY_TABLE)
 
     def seed(self) -> None:
@@ -73,11 +80,14 @@ class Registry:
         return self.status().where(F.col("model_name") == name).first()
 
     def publish(self, name: str, model: PipelineModel, quality: float) -> int:
-        """Save the model as a new staged version and append its registry row."""
+        """Save the model as a new staged version and append its registry row.
+
+        Every attempt has a folder of its own, so nothing a reader may hold is ever overwritten.
+        """
         row = self._entry(name)
         version = (row["version"] if row else 0) + 1
-        path = f"{self.root}/models/{name}/version={version}"
-        model.write().overwrite().save(path)
+        path = f"{self.root}/models/{name}/version={version}-{uuid.uuid4().hex}"
+        model.write().save(path)
         entry = self.spark.createDataFrame([(name, float(quality), path)],
                                            "model_name STRING, quality_metric DOUBLE, path STRING")
         rows = next_versions(self.versions(), entry)
@@ -104,6 +114,7 @@ class ModelCache:
     def __init__(self, registry: Registry):
         self.registry = registry
         self.loaded: dict[str, tuple[str, PipelineModel]] = {}
+        self.failed: dict[str, str] = {}  # models whose current version could not be loaded
 
     def refresh(self) -> dict[str, PipelineModel]:
         """All current models. A version that cannot be loaded leaves the former one in use."""
@@ -113,8 +124,11 @@ class ModelCache:
                 continue
             try:
                 self.loaded[name] = (path, PipelineModel.load(path))
-            except Exception:
+            except Exception as error:  # whatever is wrong with one model, the others go on
+                LOG.warning("model %s, version %s not loaded: %s", name, row["version"], error)
+                self.failed[name] = path
                 continue
+            self.failed.pop(name, None)
             if row["is_new_model_available"]:
                 self.registry.promote(name)
         return {name: model for name, (_, model) in self.loaded.items()}

@@ -40,7 +40,7 @@ TEMPLATES = [
     ),
     (
         "q8_visibility_very_late_buses", "bus_line_number", "hours",
-        "W jakich warunkach widoczności (visibility_km) autobusy linii '{bus_line_number}' najczęściej doświadczały opóźnień sklasyfikowanych jako 'Very Late' (is_late_label = 'Very Late') w ciągu ostatnich {time_interval_hours} godzin? Jeśli nie masz danych dla linii autobusowej '{bus_line_number}', odpowiedz: 'Brak danych dla tej linii'.",
+        "W jakich warunkach widoczności (visibility_km) autobusy linii '{bus_line_number}' najczęściej doświadczały opóźnień sklasyfikowanych jako 'bardzo spóźniony' (delay_category_label = 'bardzo spóźniony') w ciągu ostatnich {time_interval_hours} godzin? Jeśli nie masz danych dla linii autobusowej '{bus_line_number}', odpowiedz: 'Brak danych dla tej linii'.",
     ),
     (
         "q9_uv_bikes_bus_delay_correlation", "cluster_id", "days",
@@ -84,7 +84,7 @@ NO_DATA = {
     "q5_weather_low_bike_availability_cluster": "Brak danych dla klastra o id '{value}' z niską dostępnością rowerów w ciągu ostatnich {n} godzin.",
     "q6_bus_pm25_delay_correlation": "Brak danych dla linii autobusowej '{value}' w ciągu ostatnich {n} godzin.",
     "q7_humidity_temp_bike_prediction_impact": "Brak wystarczających danych dla stacji '{value}' w ciągu ostatnich {n} godzin do analizy wpływu wilgotności i temperatury.",
-    "q8_visibility_very_late_buses": "Brak danych o opóźnieniach 'Very Late' dla linii '{value}' w ciągu ostatnich {n} godzin.",
+    "q8_visibility_very_late_buses": "Brak danych o opóźnieniach 'bardzo spóźniony' dla linii '{value}' w ciągu ostatnich {n} godzin.",
     "q9_uv_bikes_bus_delay_correlation": "Brak wystarczających danych dla analizy korelacji UV, rowerów i opóźnień autobusów w ciągu ostatnich {n} dni.",
     "q10_optimal_hours_bikes_buses": "Brak wystarczających danych do analizy optymalnych godzin w ciągu ostatnich {n} dni.",
     "q13_bike_station_needs_refill": "Brak stacji wymagających uzupełnienia rowerów w ciągu ostatnich {n} godzin, spełniających kryteria niskiej dostępności i niesprzyjającej pogody.",

@@ -133,10 +133,12 @@ class Paths:
 
 
 def read_environment(spark: SparkSession, path: str) -> DataFrame:
-    """The environment table as it is now; empty before its first batch."""
+    """The environment table as it is now; empty before its first batch (no such folder)."""
     try:
         return spark.read.schema(ENVIRONMENT_TABLE).parquet(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], ENVIRONMENT_TABLE)
 
 
