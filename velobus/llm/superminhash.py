@@ -140,7 +140,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 25, rows: i
     85 * (|x| + |y|) <= 185 * |x and hub| (for 85 percent): the shingles that a hub lacks form
     buckets of their own. In those, some members lead, the others are compared with the leaders
     outside their component, and leaders then leave; a bucket of one component is done, the rest go
-    on with twice as many leaders.
+    on with four times as many leaders.
 
     Null or blank texts have n_shingles 0 and are linked with nothing. Rows with a null doc_id are
     linked with nothing and kept, with a null component_id. Repeated doc_ids count as one vertex.
@@ -200,7 +200,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 25, rows: i
             edges = edges.union(found)
             root = checkpointed(components(edges))
         bucket = now.where("not leads").select("key", "rep", "n")
-        leaders *= 2
+        leaders *= 4
     classes = classes.join(root.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select(*mark, F.coalesce("root", "rep").alias("component_id"))
     out = signed.select("doc_id", *mark).join(classes, mark, "left")
