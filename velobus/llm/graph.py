@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velobus.llm.shared import checkpointed
+from velobus.llm.shared import stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     rows.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    pairs = checkpointed(pairs.distinct())
+    pairs = stored(pairs.distinct())
     before = None
     while True:
         state = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -28,6 +28,6 @@ def components(edges: DataFrame) -> DataFrame:
         # Now v < u in every row: the small star links all smaller neighbours to the smallest.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-        pairs = checkpointed(small.select("e.u", "e.v").where("u <> v").distinct())
+        pairs = stored(small.select("e.u", "e.v").where("u <> v").distinct())
     roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velobus.session import work_dir
+from velobus.session import stored_copy, work_dir
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -22,6 +22,15 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """As checkpointed(), but as Parquet: for intermediate results that may be small.
+
+    Their size is known to the planner, and a scan packs small files into few tasks, so that the
+    shuffles of a few thousand rows do not cost as many files as the session has partitions.
+    """
+    return stored_copy(frame, "step")
+
+
 def only(frame: DataFrame, **columns: str) -> DataFrame:
     """The named columns under the operator's own names; whatever else the frame has is left."""
     return frame.select(*[F.col(given) if given == name else F.col(f"`{given}`").alias(name) for name, given in columns.items()])

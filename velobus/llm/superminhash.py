@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from velobus.llm.arrays import mix, shingle_sets
 from velobus.llm.graph import components
-from velobus.llm.shared import checkpointed, only
+from velobus.llm.shared import only, stored
 
 RANK_SHIFT = np.uint32(25)  # a signature value: 7 bits of rank, then 25 random bits
 ELEMENTS = 1 << 18  # shingles worked on at a time
@@ -122,7 +122,7 @@ def _verify(percent: int, size: int):
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
     """_verify() of pairs (a, b, crowded)."""
     both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-    return checkpointed(both.select("a", "b", "crowded", "text_a", "text_b").mapInArrow(_verify(percent, size), "a long, b long, n long, shared long, linked boolean, rest array<long>"))
+    return stored(both.select("a", "b", "crowded", "text_a", "text_b").mapInArrow(_verify(percent, size), "a long, b long, n long, shared long, linked boolean, rest array<long>"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 25, rows: int = 5, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -149,31 +149,31 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 25, rows: i
     spark = docs.sparkSession
     docs = only(docs, doc_id=doc_id, text=text)
     signed = docs.mapInArrow(_sign(bands, rows, size), "doc_id long, n_shingles long, mark1 long, mark2 long, keys array<long>")
-    signed = checkpointed(signed)
+    signed = stored(signed)
     mark = ["mark1", "mark2", "n_shingles"]
     linked = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = checkpointed(linked.groupBy(*mark).agg(F.min("doc_id").alias("rep")))
+    classes = stored(linked.groupBy(*mark).agg(F.min("doc_id").alias("rep")))
     reps = linked.join(classes.select(F.col("rep").alias("doc_id"), *mark), ["doc_id", *mark], "left_semi")
     spread = reps.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key")).distinct()
     full = spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    bucket = checkpointed(spread.join(full, "key"))
+    bucket = stored(spread.join(full, "key"))
     texts = docs.where("doc_id is not null").join(bucket.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    texts = checkpointed(texts.groupBy("doc_id").agg(F.max("text").alias("text")))
+    texts = stored(texts.groupBy("doc_id").agg(F.max("text").alias("text")))
 
     # Every bucket's hub meets its members.
     mass = bucket.groupBy("rep").agg(F.sum("size").alias("mass"))
     hubs = bucket.join(mass, "rep").groupBy("key").agg(F.max(F.struct("mass", (-F.col("rep")).alias("r"))).alias("hub"))
     star = bucket.join(hubs, "key").select((-F.col("hub.r")).alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
-    star = checkpointed(star)
+    star = stored(star)
     crowd = star.groupBy("a").agg((F.count("*") > 1).alias("crowded"))
     met = _verified(star.join(crowd, "a"), texts, percent, size)
     edges = met.where("linked").select("a", "b")
-    root = checkpointed(components(edges))
+    root = stored(components(edges))
 
     # What can still be linked: members that share what their hub lacks, or small ones.
     beside = met.select("a", "b", "n", "linked", F.explode("rest").alias("s")).select(F.xxhash64("a", "s").alias("key"), F.col("b").alias("rep"), "n", "linked")
     some = beside.groupBy("key").agg(F.count("*").alias("size"), F.bool_and("linked").alias("done")).where("size > 1 and not done")
-    bucket = checkpointed(beside.join(some, "key").select("key", "rep", "n"))
+    bucket = stored(beside.join(some, "key").select("key", "rep", "n"))
     far = met.where("not linked and rest is not null").select("a", F.col("b").alias("x"), F.floor((100 + percent) * F.col("shared") / percent - F.col("n")).alias("most"), F.ceil(percent * F.col("n") / 100).alias("least"))
     small = met.select("a", F.col("b").alias("y"), F.col("n").alias("ny")).join(far.where("most >= least"), "a").where("x <> y and ny <= most and ny >= least")
     extra = small.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -185,20 +185,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 25, rows: i
         state = now.groupBy("key").agg(F.count("*").alias("left"), F.min("rep").alias("least"), F.min("root").alias("low"), F.max("root").alias("high"))
         now = now.join(state.where("low <> high"), "key")
         lead = (F.col("rep") == F.col("least")) | (F.pmod(F.xxhash64("rep", F.lit(leaders)), F.col("left")) < leaders - 1)
-        now = checkpointed(now.select("key", "rep", "n", "root", lead.alias("leads")))
+        now = stored(now.select("key", "rep", "n", "root", lead.alias("leads")))
         led = now.where("leads").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
         alike = f"root <> rx AND 100 * least(n, nx) >= {percent} * greatest(n, nx)"  # else too unlike in size
         pairs = now.join(led, "key").where(alike).select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
         if leaders == 1:
             pairs = pairs.union(extra).distinct()
-        pairs = checkpointed(pairs.join(tested, ["a", "b"], "left_anti"))
+        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty() and now.isEmpty():
             break
         tested = tested.union(pairs)
         found = _verified(pairs.withColumn("crowded", F.lit(False)), texts, percent, size).where("linked").select("a", "b")
         if not found.isEmpty():
             edges = edges.union(found)
-            root = checkpointed(components(edges))
+            root = stored(components(edges))
         bucket = now.where("not leads").select("key", "rep", "n")
         leaders *= 4
     classes = classes.join(root.withColumnRenamed("node", "rep"), "rep", "left")
