@@ -140,7 +140,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 25, rows: i
     85 * (|x| + |y|) <= 185 * |x and hub| (for 85 percent): the shingles that a hub lacks form
     buckets of their own. In those, some members lead, the others are compared with the leaders
     outside their component, and leaders then leave; a bucket of one component is done, the rest go
-    on with four times as many leaders.
+    on with four times as many leaders. A pair is compared only if it could be linked with the
+    bucket's shingle as the first that both have and the hub lacks: of any two, one bucket is that.
 
     Null or blank texts have n_shingles 0 and are linked with nothing. Rows with a null doc_id are
     linked with nothing and kept, with a null component_id. Repeated doc_ids count as one vertex.
@@ -171,9 +172,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 25, rows: i
     root = stored(components(edges))
 
     # What can still be linked: members that share what their hub lacks, or small ones.
-    beside = met.select("a", "b", "n", "linked", F.explode("rest").alias("s")).select(F.xxhash64("a", "s").alias("key"), F.col("b").alias("rep"), "n", "linked")
+    # beyond: how many of its shingles that the hub lacks are not before this one.
+    beside = met.select("a", F.col("b").alias("rep"), "n", "shared", "linked", F.posexplode("rest").alias("place", "s"))
+    beside = beside.select(F.xxhash64("a", "s").alias("key"), "rep", "n", "shared", (F.col("n") - F.col("shared") - F.col("place")).alias("beyond"), "linked")
     some = beside.groupBy("key").agg(F.count("*").alias("size"), F.bool_and("linked").alias("done")).where("size > 1 and not done")
-    bucket = stored(beside.join(some, "key").select("key", "rep", "n"))
+    member = ["key", "rep", "n", "shared", "beyond"]
+    bucket = stored(beside.join(some, "key").select(*member))
     far = met.where("not linked and rest is not null").select("a", F.col("b").alias("x"), F.floor((100 + percent) * F.col("shared") / percent - F.col("n")).alias("most"), F.ceil(percent * F.col("n") / 100).alias("least"))
     small = met.select("a", F.col("b").alias("y"), F.col("n").alias("ny")).join(far.where("most >= least"), "a").where("x <> y and ny <= most and ny >= least")
     extra = small.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -185,10 +189,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 25, rows: i
         state = now.groupBy("key").agg(F.count("*").alias("left"), F.min("rep").alias("least"), F.min("root").alias("low"), F.max("root").alias("high"))
         now = now.join(state.where("low <> high"), "key")
         lead = (F.col("rep") == F.col("least")) | (F.pmod(F.xxhash64("rep", F.lit(leaders)), F.col("left")) < leaders - 1)
-        now = stored(now.select("key", "rep", "n", "root", lead.alias("leads")))
-        led = now.where("leads").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-        alike = f"root <> rx AND 100 * least(n, nx) >= {percent} * greatest(n, nx)"  # else too unlike in size
-        pairs = now.join(led, "key").where(alike).select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
+        now = stored(now.select(*member, "root", lead.alias("leads")))
+        led = now.where("leads").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("shared").alias("sx"), F.col("beyond").alias("ox"), F.col("root").alias("rx"))
+        most = "least(shared, sx) + least(beyond, ox)"  # that two can share, if this is their first
+        pairs = now.join(led, "key").where(f"root <> rx AND {100 + percent} * ({most}) >= {percent} * (n + nx)").select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
         if leaders == 1:
             pairs = pairs.union(extra).distinct()
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"))
@@ -199,7 +203,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 25, rows: i
         if not found.isEmpty():
             edges = edges.union(found)
             root = stored(components(edges))
-        bucket = now.where("not leads").select("key", "rep", "n")
+        bucket = now.where("not leads").select(*member)
         leaders *= 4
     classes = classes.join(root.withColumnRenamed("node", "rep"), "rep", "left")
     classes = classes.select(*mark, F.coalesce("root", "rep").alias("component_id"))
