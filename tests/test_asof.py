@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from velobus.operators.asof import nearest_join
+from velobus.operators import ordered
 from velobus.operators.ordered import first_by_hash, previous_value, with_slice
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -97,6 +98,17 @@ def test_first_by_hash(spark):
     assert {r["id"]: r["first"] for r in found.collect()} == expected
 
 
+def test_first_by_hash_narrows_step_by_step(spark, monkeypatch):
+    rows = [(i, i % 2) for i in range(2000)]
+    frame = spark.createDataFrame(rows, "id INT, g INT")
+    for steps in ((1,), (1, 2), (1, 2, 3, 4)):
+        monkeypatch.setattr(ordered, "PREFIXES", steps)
+        found = first_by_hash(frame, "id", ["g"], "7", F.lit(333), "first")
+        for g in (0, 1):
+            ids = sorted((i for i, of in rows if of == g), key=lambda i: hashlib.md5(f"7{i}".encode()).hexdigest())
+            assert {r["id"] for r in found.where(f"first and g = {g}").collect()} == set(ids[:333])
+
+
 def test_copies_of_an_id_stay_together(spark):
     rows = [(i if i % 3 else 3,) for i in range(300)]
     frame = spark.createDataFrame(rows, "id INT")

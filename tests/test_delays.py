@@ -76,3 +76,12 @@ def test_trend_ignores_copies(spark):
     frame = spark.createDataFrame(rows, "trip INT, place INT, delay INT")
     row = delay_trend(frame, ["trip"], ["place"]).first()
     assert (row["rises"], row["falls"], row["delay_trend"]) == (1, 1, "stable")
+
+
+def test_fractions_are_refused(spark):
+    frame = spark.createDataFrame([(1, 2.5)], "trip INT, delay DOUBLE")
+    with pytest.raises(TypeError):
+        delay_statistics(frame, ["trip"])
+    nested = frame.select(F.array(F.struct("delay")).alias("estimated_stops"))
+    with pytest.raises(TypeError):
+        with_delay_statistics(nested)

@@ -9,6 +9,7 @@ from velobus.bindings.views import buses_view
 from velobus.operators.delays import delay_statistics
 from velobus.operators.ordered import first_by_hash
 from velobus.plans import questions as q
+from velobus.sinks.tables import write_dated_batch
 
 # These run their jobs while they are built; what they return only reads the result.
 EAGER = {
@@ -36,6 +37,18 @@ def test_time_bound_reaches_the_scan(spark, folder):
     assert "ReadSchema: struct<o_orderkey:bigint,o_orderdate:timestamp_ntz>" in text
 
 
+def test_time_bound_reads_only_folders_of_its_days(spark, tmp_path):
+    rows = [(f"2024-01-0{d} 12:00:00", d) for d in range(1, 8)]
+    frame = spark.createDataFrame(rows, "t STRING, d INT").select(F.col("t").cast("timestamp").alias("timestamp"), "d")
+    path = str(tmp_path / "rows")
+    for batch in (0, 1):
+        write_dated_batch(frame, path, batch)
+    recent = q.within(spark.read.parquet(path), "2024-01-07 12:00:00", days=1)
+    assert sorted(r["d"] for r in recent.collect()) == [6, 6, 7, 7]
+    scan = next(line for line in plan(recent).splitlines() if "PartitionFilters" in line)
+    assert "event_date" in scan.split("PartitionFilters")[1].split("PushedFilters")[0]
+
+
 def test_scans_read_only_what_is_used(spark, folder):
     text = plan(q.top_delay_label(buses_view(Tables(spark, folder)), None, None))
     assert "l_extendedprice" not in text and "o_orderpriority" not in text

@@ -38,7 +38,14 @@ def silhouette(model: KMeansModel, vectors: DataFrame) -> float:
 def choose_k(
     vectors: DataFrame, ks=K_RANGE, restarts: int = RESTARTS, seed: int = SEED
 ) -> tuple[int, float, list[tuple[int, float]]]:
-    """(best k, its silhouette, all scores). First best wins; nothing valid gives (2, 0.0).
+    """(best k, its silhouette, all scores). First best wins; nothing valid gives (2, 0.0)."""
+    return best_fit(vectors, ks, restarts, seed)[:3]
+
+
+def best_fit(
+    vectors: DataFrame, ks=K_RANGE, restarts: int = RESTARTS, seed: int = SEED
+) -> tuple[int, float, list[tuple[int, float]], KMeansModel | None]:
+    """What choose_k() gives, and the model of the best k (None if nothing is valid).
 
     The vectors are read once and kept; every fit and every score runs on the kept copy.
     """
@@ -46,32 +53,30 @@ def choose_k(
     try:
         rows = kept.count()
         if rows < 2:
-            return 2, 0.0, []
-        scores = []
+            return 2, 0.0, [], None
+        scores, models = [], {}
         for k in ks:
             if k >= rows:
                 scores.append((k, -1.0))
                 continue
-            scores.append((k, silhouette(fit_kmeans(kept, k, restarts, seed), kept)))
+            models[k] = fit_kmeans(kept, k, restarts, seed)
+            scores.append((k, silhouette(models[k], kept)))
     finally:
         kept.unpersist()
     best_k, best = max(scores, key=lambda s: (s[1], -s[0]))
-    return (2, 0.0, scores) if best == -1.0 else (best_k, best, scores)
+    return (2, 0.0, scores, None) if best == -1.0 else (best_k, best, scores, models[best_k])
 
 
 def train_clusters(
     prepared: DataFrame, preparation: PipelineModel, ks=K_RANGE, restarts: int = RESTARTS
 ) -> tuple[PipelineModel, float]:
     """Pipeline of preparation and k-means for the best k, and its silhouette."""
-    vectors = preparation.transform(prepared).select("features").persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
-    try:
-        k, _, _ = choose_k(vectors, ks, restarts)
+    vectors = preparation.transform(prepared).select("features")
+    k, quality, _, model = best_fit(vectors, ks, restarts)
+    if model is None:
         model = fit_kmeans(vectors, k, restarts)
-        quality = max(silhouette(model, vectors), 0.0)
-    finally:
-        vectors.unpersist()
+        quality = silhouette(model, vectors)
+    quality = max(quality, 0.0)
     return PipelineModel(stages=[*preparation.stages, model]), quality
 
 

@@ -47,7 +47,7 @@ def nearest_times(facts: DataFrame, readings: DataFrame, slices: int | None = No
         F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("left"),
         F.min("lo").over(order.rowsBetween(1, Window.unboundedFollowing)).alias("right"),
     )
-    # At most 2048 slices exist, so this side is safe to broadcast.
+    # One row per slice, and one slice per shuffle partition: safe to broadcast at every data size.
     joined = near.join(F.broadcast(edges), near["slice"] == edges["edge"], "left")
     before = F.coalesce("before", "left")
     after = F.coalesce("after", "right")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def trend_label(rises: Column, falls: Column) -> Column:
@@ -13,6 +14,12 @@ def trend_label(rises: Column, falls: Column) -> Column:
     )
 
 
+def _whole_seconds(kind: T.DataType) -> None:
+    """Delays are whole seconds: the variance is summed in integers, which would cut fractions."""
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"delays must be whole seconds, not {kind.simpleString()}")
+
+
 def _exact_variance(n: Column, total: Column, squares: Column) -> Column:
     """Sample variance of whole-second delays from integer sums: exact, and the same for every
     partitioning. Null below two values."""
@@ -67,6 +74,7 @@ def _mean(values: Column) -> Column:
 
 def with_delay_statistics(messages: DataFrame, stops: str = "estimated_stops") -> DataFrame:
     """Replace the nested stop list of each message by its delay statistics; no shuffle."""
+    _whole_seconds(messages.schema[stops].dataType.elementType["delay"].dataType)
     listed = F.coalesce(F.col(stops), F.array().cast(messages.schema[stops].dataType))
     delays = F.filter(F.transform(listed, lambda s: s["delay"]), lambda d: d.isNotNull())
     frame = messages.withColumn("_stops", F.size(listed)).withColumn("_d", delays)
@@ -141,6 +149,7 @@ def delay_statistics(
 
     Without ``position`` the trend column is left out. ``extra`` adds further aggregates.
     """
+    _whole_seconds(stops.schema[delay].dataType)
     d = F.col(delay)
     raw = stops.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_stops"),

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from velobus.session import shuffle_width
 
+# Hexadecimal digits of a hash by which first_by_hash() narrows its search, step by step.
+PREFIXES = (4, 8)
+
 
 def with_slice(
     frame: DataFrame,
@@ -87,42 +90,40 @@ def first_by_hash(
     """Flag the first rows of each group in the order of md5(seed, id).
 
     ``quota`` is the number of rows to flag, an expression over "size", the group's row count; rows
-    sharing an id are flagged together. md5 spreads the ids evenly over 4096 prefixes: counting per
-    (group, prefix) shows in which prefix the quota ends, only that prefix is ranked, and the last
-    flagged id becomes the group's limit. The rows themselves are compared with one limit per
-    group (the whole frame without ``by``). With ``few_groups`` (class labels) the limits are
-    broadcast and no row is shuffled.
+    sharing an id are flagged together. md5 spreads the ids evenly over its prefixes: counting per
+    (group, prefix) shows in which one the quota ends, and that one is counted by longer prefixes in
+    turn. Every count has at most 65536 rows per group, whatever the number of rows. Only the last
+    prefix, one in 16 ** 8 ids, is ranked, and the last flagged id becomes the group's limit. The
+    rows themselves are compared with one limit per group (the whole frame without ``by``). With
+    ``few_groups`` (class labels) the limits are broadcast and no row is shuffled.
     """
     small = F.broadcast if few_groups else (lambda side: side)
     md5 = F.md5(F.concat(F.lit(seed), F.col(id_col).cast("string")))
-    hashed = frame.withColumn("_md5", md5).withColumn("_prefix", F.substring("_md5", 1, 3))
-    whole = Window.partitionBy(*by)
-    upto = whole.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cuts = (
-        hashed.groupBy(*by, "_prefix")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(upto))
-        .withColumn("size", F.sum("_n").over(whole))
-        .withColumn("_quota", quota)
-        .where((F.col("_upto") - F.col("_n") < F.col("_quota")) & (F.col("_upto") >= F.col("_quota")))
-        .select(
-            *[F.col(c).alias(f"_on_{c}") for c in by],
-            F.col("_prefix").alias("_on__prefix"),
-            (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_place"),
+    hashed = frame.withColumn("_md5", md5)
+    narrow = hashed.select(*by, id_col, "_md5")
+    first, *longer = [F.substring("_md5", 1, digits) for digits in PREFIXES]
+    counted = narrow.groupBy(*by, first.alias("_prefix")).agg(F.count(F.lit(1)).alias("_n"))
+    sized = counted.withColumn("size", F.sum("_n").over(Window.partitionBy(*by)))
+    cuts = _cut(sized.withColumn("_wanted", quota), by)
+    inside = narrow.withColumn("_prefix", first).join(small(cuts), _same([*by, "_prefix"]))
+    for prefix in longer:
+        inside = inside.select(*by, id_col, "_md5", "_place")
+        counted = inside.groupBy(*by, prefix.alias("_prefix")).agg(
+            F.count(F.lit(1)).alias("_n"), F.max("_place").alias("_wanted")
         )
-    )
+        cuts = _cut(counted, by)
+        inside = inside.drop("_place").withColumn("_prefix", prefix)
+        inside = inside.join(small(cuts), _same([*by, "_prefix"]))
     # Copies of an id count as one row here, however many there are.
     ids = (
-        hashed.select(*by, id_col, "_md5", "_prefix")
-        .join(small(cuts), _same([*by, "_prefix"]))
-        .groupBy(*by, "_md5", id_col, "_place")
+        inside.groupBy(*by, "_md5", id_col, "_place")
         .agg(F.count(F.lit(1)).alias("_copies"))
     )
-    inside = Window.partitionBy(*by).orderBy("_md5", id_col).rowsBetween(
+    order = Window.partitionBy(*by).orderBy("_md5", id_col).rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
     limits = (
-        ids.withColumn("_rank", F.sum("_copies").over(inside))
+        ids.withColumn("_rank", F.sum("_copies").over(order))
         .where(
             (F.col("_rank") >= F.col("_place"))
             & (F.col("_rank") - F.col("_copies") < F.col("_place"))
@@ -141,6 +142,20 @@ def first_by_hash(
     return limited.select(*frame.columns, flag.alias(output))
 
 
+def _cut(counted: DataFrame, by: list[str]) -> DataFrame:
+    """Of rows (group, _prefix, _n, _wanted): the prefix in which the group's wanted row lies, and
+    the row's place in there."""
+    order = Window.partitionBy(*by).orderBy("_prefix")
+    upto = F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.col("_upto") - F.col("_n")
+    here = (before < F.col("_wanted")) & (F.col("_upto") >= F.col("_wanted"))
+    return counted.withColumn("_upto", upto).where(here).select(
+        *[F.col(c).alias(f"_on_{c}") for c in by],
+        F.col("_prefix").alias("_on__prefix"),
+        (F.col("_wanted") - before).alias("_place"),
+    )
+
+
 def _same(columns: list[str]) -> Column:
     """Null-safe equality of columns with their "_on_" copies; for small right sides."""
     return reduce(

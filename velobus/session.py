@@ -77,6 +77,6 @@ def wide_records(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def shuffle_width(spark: SparkSession, low: int = 8, high: int = 2048) -> int:
-    """How many slices to cut ordered data into: one per shuffle partition, within bounds."""
-    return max(low, min(high, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+def shuffle_width(spark: SparkSession, low: int = 8) -> int:
+    """How many slices to cut ordered data into: one per shuffle partition, ``low`` at least."""
+    return max(low, int(spark.conf.get("spark.sql.shuffle.partitions")))

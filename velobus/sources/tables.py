@@ -37,11 +37,17 @@ def within(
     days: int | None = None,
     time: str = "timestamp",
 ) -> DataFrame:
-    """Rows of the last N hours or days before ``as_of``; the bound reaches the file scan."""
+    """Rows of the last N hours or days before ``as_of``; the bound reaches the file scan.
+
+    Of a table stored by ``event_date`` (the date of ``timestamp``) only the folders of those days
+    are read.
+    """
     if hours is None and days is None:
         return frame
-    span = F.make_dt_interval(F.lit(days or 0), F.lit(hours or 0))
-    return frame.where(F.col(time) >= instant(as_of) - span)
+    bound = instant(as_of) - F.make_dt_interval(F.lit(days or 0), F.lit(hours or 0))
+    if time == "timestamp" and "event_date" in frame.columns:
+        frame = frame.where(F.col("event_date") >= F.to_date(bound))
+    return frame.where(F.col(time) >= bound)
 
 
 def training_scan(
