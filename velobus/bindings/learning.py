@@ -212,7 +212,7 @@ def kmeans_k(t: Tables):
 @query("kmeans_profile")
 def kmeans_profile(t: Tables):
     """Centre values per cluster and dimension of a model over all embeddings."""
-    model = clusters.fit_kmeans(_vectors(t), 5, restarts=2)
+    model = clusters.fit_kmeans(_vectors(t), 5)
     names = [f"dim_{i}" for i in range(len(model.clusterCenters()[0]))]
     return clusters.cluster_profile(t.embeddings, model, names)
 
@@ -230,7 +230,7 @@ def kmeans_score(t: Tables):
     rows = features.complete_rows(buses, BUS_FEATURES)
     preparation = features.feature_pipeline(rows, BUS_FEATURES)
     vectors = preparation.transform(rows).select("features")
-    model = clusters.fit_kmeans(vectors, 4, restarts=2)
+    model = clusters.fit_kmeans(vectors, 4)
     pipeline = PipelineModel(stages=[*preparation.stages, model])
     scored = scoring.score_cluster(buses, pipeline, BUS_FEATURES)
     return scored.select("o_orderkey", "cluster_id", "cluster_prediction_success")
