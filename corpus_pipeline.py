@@ -5,10 +5,11 @@ result as Parquet to the shared folder and gives the next stage what it reads ba
 """
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from velobus.llm.lpt import sharded
 from velobus.llm.pfair import in_mixed_order
-from velobus.llm.shared import shared_folder
+from velobus.llm.shared import in_written_order, shared_folder
 from velobus.llm.superminhash import without_copies
 from velobus.llm.templates import without_contaminated
 from velobus.llm.toxicity import without_toxic
@@ -38,9 +39,12 @@ def mixing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Where each document goes: shard and slot."""
+    """Where each document goes: shard and slot. Slots follow the order in which mixing wrote the
+    rows, so every shard is read in the proportions of the mixture; without files there is none."""
     tune(spark)
-    return sharded(docs)
+    if not docs.inputFiles():
+        return sharded(docs)
+    return sharded(in_written_order(docs, "_place"), order=F.col("_place"))
 
 
 STAGES = [

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from velobus.llm import archives, linkgraph, lpt, oneperm, pfair, secrets, suffixes, superminhash, templates, toxicity
@@ -228,6 +229,26 @@ def test_shards(docs, nothing):
     assert lpt.sharded(nothing).count() == 0
 
 
+def test_slots_follow_the_mixture(spark, tmp_path):
+    rows = [(i, f"text {i % 900}", "hot" if i % 5 else f"s{i % 3}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    corpus_pipeline.mixing(spark, docs, "").write.parquet(f"{tmp_path}/mixed")
+    place = {r.doc_id: r.position for r in pfair.mixed(docs).collect()}
+    got = corpus_pipeline.sharding(spark, spark.read.parquet(f"{tmp_path}/mixed"), "").collect()
+    assert len(got) == len(rows)
+    for shard in {r.shard for r in got}:
+        own = sorted((r.slot, place[r.doc_id]) for r in got if r.shard == shard)
+        assert [s for s, _ in own] == list(range(len(own)))
+        assert [p for _, p in own] == sorted(p for _, p in own)
+    empty = docs.where("false")
+    empty.write.parquet(f"{tmp_path}/empty")
+    assert corpus_pipeline.sharding(spark, spark.read.parquet(f"{tmp_path}/empty"), "").count() == 0
+    unordered = lpt.sharded(docs, 2, order=F.when(F.col("doc_id") % 2 == 0, -F.col("doc_id"))).collect()
+    for shard in (0, 1):
+        ids = [r.doc_id for r in sorted(unordered, key=lambda r: r.slot) if r.shard == shard]
+        assert ids == sorted(ids, key=lambda i: (i % 2 == 0, i if i % 2 else -i))
+
+
 def test_longest_first():
     sizes = [7, 5, 4, 3, 3, 2]
     loads = Counter()

@@ -2,7 +2,7 @@
 
 import heapq
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velobus.llm.shared import checkpointed, partitions
@@ -19,7 +19,7 @@ def assign(sizes: list[int], shards: int) -> list[int]:
     return out
 
 
-def sharded(docs: DataFrame, shards: int = 8, fineness: int = 4_000, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 8, fineness: int = 4_000, text: str = "text", doc_id: str = "doc_id", order: Column | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row of ``docs``.
 
     Rows of equal text form a group and stay together; a row's size is its UTF-8 bytes plus 1. The
@@ -29,14 +29,16 @@ def sharded(docs: DataFrame, shards: int = 8, fineness: int = 4_000, text: str =
     groups are gathered by the hash of their text into shards * fineness bundles. So the law is
     ``bytes``, up to about one piece; grown_shard is null, as another shard count moves pieces.
 
-    slot numbers the rows of a shard without gaps from 0. Null texts count as empty ones. Rows that
+    slot numbers the rows of a shard without gaps from 0: by ``order``, a whole number per row, where
+    one is given (null first, equal ones by id), else in any order. Even steps of it, such as
+    positions, share the numbering out evenly; others are numbered right too. Null texts count as empty ones. Rows that
     repeat an id are rows like any other. An empty table gives an empty result; other columns are
     ignored.
     """
-    return _placed(docs, shards, fineness, text, doc_id).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return _placed(docs, shards, fineness, text, doc_id, order).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-def _placed(docs: DataFrame, shards: int, fineness: int, text: str, doc_id: str) -> DataFrame:
+def _placed(docs: DataFrame, shards: int, fineness: int, text: str, doc_id: str, order: Column | None) -> DataFrame:
     spark = docs.sparkSession
     utf8 = F.encode(F.coalesce(F.col(f"`{text}`"), F.lit("")), "UTF-8")
     pieces = shards * fineness
@@ -45,10 +47,12 @@ def _placed(docs: DataFrame, shards: int, fineness: int, text: str, doc_id: str)
         (F.octet_length(utf8) + 1).cast("long").alias("size"),
         F.crc32(utf8).alias("text_crc32"),
         F.unhex(F.md5(utf8)).alias("_group"),
+        *([] if order is None else [order.cast("long").alias("_order")]),
     )
     rows = checkpointed(rows)
     groups = rows.groupBy("_group", "text_crc32").agg(F.sum("size").alias("weight"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    span = [F.lit(0), F.lit(0)] if order is None else [F.min("_order"), F.max("_order")]
+    total, least, most = (x or 0 for x in rows.agg(F.sum("size"), *span).first())
     bundle = F.pmod(F.xxhash64("_group", "text_crc32"), F.lit(pieces)).cast("int")
     heavy = F.col("weight") * pieces > total
     own = F.when(heavy, F.struct("_group", "text_crc32"))
@@ -65,10 +69,15 @@ def _placed(docs: DataFrame, shards: int, fineness: int, text: str, doc_id: str)
     placed = placed.withColumn("shard", F.coalesce("_alone", "_light"))
     # Numbers without gathering a shard: rows are numbered in parts, whose counts say where each begins.
     parts = partitions(spark)
-    placed = placed.withColumn("_part", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)))
+    if order is None:
+        part, by = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)), []
+    else:  # parts are stretches of the order
+        step = F.lit((most - least) // parts + 1)
+        part, by = F.coalesce(F.floor((F.col("_order") - least) / step), F.lit(-1)), ["_order"]
+    placed = placed.withColumn("_part", part)
     before = F.sum("count").over(Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
     begins = placed.groupBy("shard", "_part").count().select("shard", "_part", F.coalesce(before, F.lit(0)).alias("_begin"))
-    rank = F.row_number().over(Window.partitionBy("shard", "_part").orderBy("doc_id", "text_crc32")) - 1
+    rank = F.row_number().over(Window.partitionBy("shard", "_part").orderBy(*by, "doc_id", "text_crc32")) - 1
     placed = placed.withColumn("_rank", rank).join(begins, ["shard", "_part"])
     return placed.withColumns({"slot": F.col("_begin") + F.col("_rank"), "law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
