@@ -272,6 +272,24 @@ def test_decontamination(spark, docs, nothing):
     assert templates.contaminated(docs, bench.where("false")).count() == 0
 
 
+def test_decontamination_of_names_that_open_sentences(spark):
+    clips = "Natalia sold clips to 48 of her friends in April. Natalia then sold half as many clips in May. How many clips did she sell in all?"
+    weng = "Weng earns 12 dollars an hour for babysitting. Weng also earns 3 dollars for tips. Weng spent 50 minutes there. How much was it?"
+    bench = spark.createDataFrame([(1, clips), (2, weng)], "item_id long, text string")
+    other = weng.replace("Weng", "Maria").replace("12", "15").replace("50", "70")
+    bare = clips.replace(".", "").replace("?", "")
+    twisted = " ".join(reversed(weng.split()))
+    mixed_up = weng.replace("Weng", "Maria", 1).replace("Weng also", "Carol also").replace("Weng spent", "Peter spent")
+    docs = [
+        (1, clips.replace("Natalia", "Robert").replace("48", "96")), (2, f"{prose(5, 20)}. {other} {prose(6, 20)}"), (3, bare), (4, twisted),
+        (5, clips), (6, mixed_up), (7, bare.replace("Natalia", "Robert")), (8, "He asked: " + clips.replace(". N", ", N").replace(". H", ", H")),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.reparameterised for r in templates.contaminated(frame, bench).collect()}
+    assert got == {(1, 1): True, (2, 2): True, (3, 1): False, (5, 1): False, (7, 1): True, (8, 1): False}
+    assert sorted(r.doc_id for r in templates.without_contaminated(frame, bench).collect()) == [4, 6]
+
+
 def test_url_verdicts(spark):
     link = '<a href="//bad.com/x">'
     rows = [

@@ -36,8 +36,9 @@ def _hash_of(words: list[str]) -> np.ndarray:
     return np.sort(span_hashes(*prefix_sums(run), starts[:-1], starts[1:]))
 
 
-def tokens(run: np.ndarray, starts: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Value, kind and text number of every word of a run of texts, without its punctuation.
+def tokens(run: np.ndarray, starts: np.ndarray, units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Value, kind and text number of every word of a run of texts, without its punctuation, and
+    whether it may be a name or not: a capitalised word that begins a sentence, kept as plain.
 
     A number begins with a digit and has at most three letters after it; a name is a capitalised
     word that begins no sentence; a unit is in the list. Words without a letter or digit are none.
@@ -64,10 +65,11 @@ def tokens(run: np.ndarray, starts: np.ndarray, units: np.ndarray) -> tuple[np.n
     cores = np.concatenate([np.zeros(1, np.int64), np.cumsum(core)])
     letters = cores[end] - cores[begin] - digits[end] + digits[begin]
     kind = np.zeros(len(begin), np.int8)
-    kind[UPPER[run[begin]] & (capitals[end] - capitals[begin] == 1) & ~opens] = NAME
+    capital = UPPER[run[begin]] & (capitals[end] - capitals[begin] == 1)
+    kind[capital & ~opens] = NAME
     kind[np.isin(value, units)] = UNIT
     kind[DIGIT[run[begin]] & (letters <= 3)] = NUMBER
-    return value, kind, owner
+    return value, kind, owner, capital & opens & (kind == PLAIN)
 
 
 def windows(value: np.ndarray, kind: np.ndarray, owner: np.ndarray, size: int) -> np.ndarray:
@@ -81,20 +83,50 @@ def windows(value: np.ndarray, kind: np.ndarray, owner: np.ndarray, size: int) -
     return np.concatenate([total, np.zeros(len(value) - n, np.uint64)])
 
 
+def loosened(value: np.ndarray, kind: np.ndarray, owner: np.ndarray, loose: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and place of the windows in which one or more ``loose`` words are read as names, in
+    every choice of these words."""
+    canonical = np.where(kind == PLAIN, value, mix(kind.astype(np.uint64), 77))
+    name = mix(np.array([NAME], np.uint64), 77)
+    n = max(0, len(value) - size + 1)
+    bits = np.zeros(n, np.int64)
+    for j in range(size):
+        bits |= loose[j : j + n].astype(np.int64) << j
+    bits[owner[:n] != owner[size - 1 : size - 1 + n]] = 0
+    place = np.flatnonzero(bits)
+    bits = bits[place]
+    masks = set()
+    for code in np.unique(bits).tolist():
+        mask = code
+        while mask:
+            masks.add(mask)
+            mask = (mask - 1) & code
+    hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for mask in sorted(masks):
+        own = place[bits & mask == mask]
+        total = np.zeros(len(own), np.uint64)
+        for j in range(size):
+            total = mix(total + (name if mask >> j & 1 else canonical[own + j]), j + 1)
+        hashes.append(total)
+        places.append(own)
+    return np.concatenate(hashes), np.concatenate(places)
+
+
 class Block:
     """The template windows of a bounded number of benchmark items, sorted for lookup."""
 
     def __init__(self, ids: list[int], texts: list[str], size: int):
         self.ids, self.size, self.units = ids, size, _hash_of(UNITS)
         run, starts = text_run(pa.array(texts, pa.string()))
-        self.value, self.kind, owner = tokens(run, starts, self.units)
+        self.value, self.kind, owner, loose = tokens(run, starts, self.units)
         keys = windows(self.value, self.kind, owner, size)
         place = np.flatnonzero(keys)
-        # An item's first word, if it stands inside a sentence of a document, reads as a name.
-        opens = np.concatenate([np.ones(min(1, len(owner)), bool), owner[1:] != owner[:-1]])
-        named = windows(self.value, np.where(opens, NAME, self.kind), owner, size)
-        again = np.flatnonzero(opens & (named != 0))
-        all_keys, all_places = np.concatenate([keys[place], named[again]]), np.concatenate([place, again])
+        # A word that begins a sentence may be a name, and so may an item's first word, which reads
+        # as one if it stands inside a sentence of a document.
+        loose[:1] = True
+        loose[1:] |= owner[1:] != owner[:-1]
+        named, again = loosened(self.value, self.kind, owner, loose, size)
+        all_keys, all_places = np.concatenate([keys[place], named]), np.concatenate([place, again])
         order = np.argsort(all_keys, kind="stable")
         self.keys, self.place = all_keys[order], all_places[order]
         self.item = owner
@@ -105,19 +137,25 @@ class Block:
         run, starts = text_run(column)
         for first, last in slices(starts, PIECE):
             own = starts[first : last + 1] - starts[first]
-            value, kind, owner = tokens(run[starts[first] : starts[last]], own, self.units)
+            value, kind, owner, loose = tokens(run[starts[first] : starts[last]], own, self.units)
             keys = windows(value, kind, owner, self.size)
+            named, again = loosened(value, kind, owner, loose, self.size)
+            whole = np.flatnonzero(keys)
+            keys, places = np.concatenate([keys[whole], named]), np.concatenate([whole, again])
             low = np.searchsorted(self.keys, keys, side="left")
-            known = np.flatnonzero((keys != 0) & (low < len(self.keys)))
+            known = np.flatnonzero(low < len(self.keys))
             hit = known[self.keys[low[known]] == keys[known]]
             count = np.searchsorted(self.keys, keys[hit], side="right") - low[hit]
-            there = np.repeat(hit, count)
-            skip = np.arange(len(there)) - np.repeat(np.cumsum(count) - count, count)
+            skip = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             here = self.place[np.repeat(low[hit], count) + skip]
+            # Two windows may match in several readings.
+            both = np.unique(np.repeat(places[hit], count) * max(len(self.value), 1) + here)
+            there, here = both // max(len(self.value), 1), both % max(len(self.value), 1)
             # Distinct windows of an item that a text has, before slots are looked at.
             pair = owner[there] * len(self.ids) + self.item[here]
-            for both in np.unique(pair):
-                chosen = pair == both
+            order = np.argsort(pair, kind="stable")
+            pairs, begins = np.unique(pair[order], return_index=True)
+            for both, chosen in zip(pairs, np.split(order, begins[1:]), strict=bool(len(pairs))):
                 item = int(both) % len(self.ids)
                 least = share * self.total[item]
                 if len(np.unique(here[chosen])) >= least:
@@ -131,7 +169,12 @@ class Block:
         votes: dict[int, Counter] = defaultdict(Counter)
         bound = []
         for t, h in zip(there.tolist(), here.tolist(), strict=True):
-            slots = [(int(self.value[h + j]), int(value[t + j])) for j in range(self.size) if kind[t + j] != PLAIN]
+            # Plain words that differ have matched as names.
+            slots = [
+                (int(self.value[h + j]), int(value[t + j]))
+                for j in range(self.size)
+                if kind[t + j] != PLAIN or self.kind[h + j] != PLAIN or self.value[h + j] != value[t + j]
+            ]
             bound.append((h, slots))
             for mine, other in slots:
                 votes[mine][other] += 1
@@ -176,7 +219,8 @@ def _leaks(block: Block, share: float) -> Callable:
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: float = 0.8, limit: int = 8_000_000) -> DataFrame:
     """(doc_id, item_id, share, reparameterised): the benchmark items each document gives away.
 
-    Numbers, units and names of both sides become typed placeholders. An item is given away if at
+    Numbers, units and names of both sides become typed placeholders. A capitalised word that begins
+    a sentence counts both as itself and as a name, on both sides. An item is given away if at
     least ``share`` of its windows of ``size`` words are in the text and agree on what stands for
     each number, unit and name; reparameterised says that some stand-in differs from the item's own.
     The benchmark is taken in blocks of ``limit`` characters, which bounds what tasks receive; each
