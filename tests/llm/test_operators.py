@@ -290,6 +290,24 @@ def test_decontamination_of_names_that_open_sentences(spark):
     assert sorted(r.doc_id for r in templates.without_contaminated(frame, bench).collect()) == [4, 6]
 
 
+def test_decontamination_of_several_variants(spark):
+    question = "If a train travels 120 km in 3 hours and Alice waits 20 minutes for it at the old station, how far does it go each hour?"
+
+    def variant(k, name):
+        return question.replace("120", str(400 + k)).replace("Alice", name).replace(" 3 ", f" {50 + k} ").replace(" 20 ", f" {60 + k} ")
+
+    names = ["Robert", "Maria", "Carol Ann", "Peter", "Wanda"]
+    sheets = [" ".join(variant(k, n) for k, n in enumerate(names[:m])) for m in (2, 3, 5)]
+    # Every number and name from another sentence: no place gives the question away.
+    jumble = " ".join(f"{question.replace('120', str(k)).split(' hours')[0]} apples" for k in range(300, 340))
+    outvoted = variant(7, "Ivo") + " " + " ".join(f"Then a train travels {k} km in 9 days." for k in range(600, 640))
+    docs = [*sheets, " ".join([variant(1, "Robert"), question]), jumble, outvoted, variant(0, "Robert") + " . " + prose(5, 60)]
+    bench = spark.createDataFrame([(1, question)], "item_id long, text string")
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {r.doc_id: (r.share, r.reparameterised) for r in templates.contaminated(frame, bench).collect()}
+    assert got == {0: (1.0, True), 1: (1.0, True), 2: (1.0, True), 3: (1.0, False), 5: (1.0, True), 6: (1.0, True)}
+
+
 def test_url_verdicts(spark):
     link = '<a href="//bad.com/x">'
     rows = [

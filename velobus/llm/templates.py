@@ -159,10 +159,35 @@ class Block:
                 item = int(both) % len(self.ids)
                 least = share * self.total[item]
                 if len(np.unique(here[chosen])) >= least:
-                    found, changed = self._consistent(there[chosen], here[chosen], value, kind)
+                    found, changed = self._best(there[chosen], here[chosen], value, kind)
                     if found >= least:
                         yield first + int(both) // len(self.ids), item, found / self.total[item], changed
 
+    def _best(self, there: np.ndarray, here: np.ndarray, value: np.ndarray, kind: np.ndarray) -> tuple[int, bool]:
+        """_consistent() of the occurrence that gives most of the item, an unchanged one first.
+
+        An occurrence is a run of windows whose places in text and item are about equally far apart,
+        so that several variants of an item in one text are judged each for itself. All windows of
+        the text together count too, as an occurrence may have been pulled apart.
+        """
+        item = self.item[here[0]]
+        words = np.searchsorted(self.item, item, side="right") - np.searchsorted(self.item, item)
+        # Stretches of half an item, each overlapping the next by half: a run that is drawn out by
+        # less than a quarter of the item lies in one, and the next variant does not.
+        step = (there - here) // max(1, words // 4)
+        order = np.argsort(step, kind="stable")
+        sorted_steps = step[order]
+        firsts = np.unique(np.concatenate([sorted_steps - 1, sorted_steps]))
+        low, high = np.searchsorted(sorted_steps, firsts), np.searchsorted(sorted_steps, firsts + 1, side="right")
+        best = self._consistent(there, here, value, kind)
+        for a, b in zip(low.tolist(), high.tolist(), strict=True):
+            if best == (self.total[item], False):
+                break
+            own = order[a:b]
+            if len(np.unique(here[own])) >= best[0]:
+                best = max(best, self._consistent(there[own], here[own], value, kind), key=lambda x: (x[0], not x[1]))
+        return best
+
     def _consistent(self, there: np.ndarray, here: np.ndarray, value: np.ndarray, kind: np.ndarray) -> tuple[int, bool]:
         """How many of the item's windows agree on what stands for each slot value, and whether any
         slot differs from the item's. A value's stand-in is the one that most windows give it."""
@@ -222,7 +247,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 5, share: fl
     Numbers, units and names of both sides become typed placeholders. A capitalised word that begins
     a sentence counts both as itself and as a name, on both sides. An item is given away if at
     least ``share`` of its windows of ``size`` words are in the text and agree on what stands for
-    each number, unit and name; reparameterised says that some stand-in differs from the item's own.
+    each number, unit and name, in one place or over the whole text; reparameterised says that some
+    stand-in differs from the item's own in the place that gives most of the item.
     The benchmark is taken in blocks of ``limit`` characters, which bounds what tasks receive; each
     block meets all documents, so no join on windows leaves a task and no window is left out.
 
