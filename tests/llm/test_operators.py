@@ -339,6 +339,32 @@ def test_ranks_against_brute_force(spark):
     assert [got[h] for h in "abc"] == [pytest.approx(v) for v in zip(x, y, strict=True)]
 
 
+def test_distrust_runs_along_a_chain(spark):
+    """Twenty hosts, each linking to the next; the last one is blocked, so all are suspect."""
+    rows = [(k, f"http://h{k}.net/", f'<a href="//h{k + 1}.net/">') for k in range(20)] + [(20, "http://bad.com/de/", '<a href="/">')]
+    rows[19] = (19, "http://h19.net/", '<a href="//bad.com/de/">')
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in linkgraph.judged(pages).collect()}
+    assert got == dict.fromkeys(range(21), "block")
+
+
+def test_ranks_come_to_rest(spark):
+    rng = random.Random(3)
+    links = {(rng.randrange(30), rng.randrange(30)) for _ in range(60)}
+    edges = spark.createDataFrame([(str(a), str(b), 1.0) for a, b in links if a != b], "a string, b string, weight double")
+    seeds = spark.createDataFrame([("0", 1.0, 0.0), ("1", 0.0, 3.0), ("2", 1.0, 1.0)], "host string, trust double, distrust double")
+    m = np.zeros((30, 30))
+    for a, b in links:
+        m[a, b] = a != b
+    unit = lambda x: x / np.maximum(x.sum(1, keepdims=True), 1)
+    t, d = np.zeros(30), np.zeros(30)
+    t[[0, 2]], d[[1, 2]] = 0.5, [0.75, 0.25]
+    true = [np.linalg.solve(np.eye(30) - 0.85 * unit(w).T, 0.15 * v) for w, v in ((m, t), (m.T, d))]
+    got = {int(r.host): (r.trust, r.distrust) for r in linkgraph.propagated(edges, seeds, rounds=None).collect()}
+    for k in range(30):
+        assert got.get(k, (0, 0)) == tuple(pytest.approx(x[k], rel=2e-3) for x in true)
+
+
 @pytest.mark.parametrize("weights", [None, {"s0": 6, "s1": 1, None: 2}])
 def test_mixing(spark, nothing, weights):
     rows = [(i % 240, f"s{i % 3}" if i % 4 else None) for i in range(250)] + [(None, "s0"), (7, "it's")]

@@ -1,12 +1,13 @@
 """URL verdicts by rules, and by trust and distrust that spread over the graph of hosts."""
 
+import itertools
 import string
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velobus.llm.shared import checkpointed
+from velobus.llm.shared import stored
 
 # The rules the query is asked to apply: action, host and path as one string.
 RULES = (
@@ -54,35 +55,50 @@ def host_edges(pages: DataFrame, html: str = "html") -> DataFrame:
     return links.union(both.toDF("a", "b", "weight")).where("a <> b and a <> '' and b <> ''").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+def _moving(before: DataFrame, after: DataFrame, tolerance: float) -> int:
+    """How many ranks are new or have changed by more than ``tolerance`` of themselves."""
+    pairs = after.join(before.withColumnRenamed("rank", "was"), ["way", "x"], "left")
+    moved = F.col("was").isNull() | (F.abs(F.col("rank") - F.col("was")) > F.col("rank") * tolerance)
+    return pairs.agg(F.count_if(moved)).first()[0]
+
+
+def propagated(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = 12, tolerance: float = 1e-3) -> DataFrame:
     """(host, trust, distrust) by personalised PageRank from seeds (host, trust, distrust).
 
     Trust follows the edges from the hosts it is given to, distrust runs against them: who links to
     a bad host is suspect. Both are ranks of one walk over doubled nodes. A host without further
     edges keeps what it has to itself.
+
+    After so many rounds it ends, or, with ``rounds`` null, once four rounds have reached no further
+    host and changed no host's trust or distrust by more than ``tolerance`` of itself. A chain of
+    hosts takes as many rounds as it has links, and about 40 more.
     """
     walk = edges.select(F.lit(0).alias("way"), F.col("a").alias("x"), F.col("b").alias("y"), "weight").union(edges.select(F.lit(1), "b", "a", "weight"))
     total = walk.groupBy("way", "x").agg(F.sum("weight").alias("total"))
-    walk = checkpointed(walk.join(total, ["way", "x"]).select("way", "x", "y", (F.col("weight") / F.col("total")).alias("share")))
+    walk = stored(walk.join(total, ["way", "x"]).select("way", "x", "y", (F.col("weight") / F.col("total")).alias("share")))
     sums = seeds.agg(F.sum("trust").alias("t"), F.sum("distrust").alias("d")).first()
     start = seeds.select(F.explode(F.array(F.struct(F.lit(0).alias("way"), (F.col("trust") / (sums.t or 1.0)).alias("rank")), F.struct(F.lit(1).alias("way"), (F.col("distrust") / (sums.d or 1.0)).alias("rank")))).alias("s"), F.col("host").alias("x"))
-    start = checkpointed(start.select("s.way", "x", "s.rank").where("rank > 0"))
-    rank = start
-    for k in range(rounds):
+    start = stored(start.select("s.way", "x", "s.rank").where("rank > 0"))
+    rank = before = start
+    for k in itertools.count() if rounds is None else range(rounds):
         moved = walk.join(rank, ["way", "x"]).select("way", F.col("y").alias("x"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        rank = moved.union(start.withColumn("rank", F.col("rank") * (1 - damping))).groupBy("way", "x").agg(F.sum("rank").alias("rank"))
-        if k % 4 == 3:
-            rank = checkpointed(rank)
+        # Stored every round: the next one reads small files in few tasks, whatever the partitions.
+        rank = stored(moved.union(start.withColumn("rank", F.col("rank") * (1 - damping))).groupBy("way", "x").agg(F.sum("rank").alias("rank")))
+        if rounds is None and k % 4 == 3:
+            if not _moving(before, rank, tolerance):
+                break
+            before = rank
     of = lambda way: F.coalesce(F.sum(F.when(F.col("way") == way, F.col("rank"))), F.lit(0.0))
     return rank.groupBy(F.col("x").alias("host")).agg(of(0).alias("trust"), of(1).alias("distrust"))
 
 
-def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, limit: float = 0.5, damping: float = 0.85, rounds: int = 12) -> DataFrame:
+def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, limit: float = 0.5, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-3) -> DataFrame:
     """(page_id, host, path, rule, verdict) per row of ``pages``.
 
     The longest fitting rule decides. The pages that rules allow or block make their hosts seeds of
     trust or distrust, by their number; where no rule fits, a page is blocked if distrust is more
-    than ``limit`` of its host's trust and distrust together, and else allowed.
+    than ``limit`` of its host's trust and distrust together, and else allowed. Both spread until
+    four rounds move no host's by more than ``tolerance`` of itself, unless ``rounds`` are given.
 
     ``rules`` are a configuration list, looked up in order. A null url, or one without ://, has an
     empty host and path; an empty host fits no rule, has no edges and is allowed. Null html has no
@@ -94,8 +110,8 @@ def judged(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, limit: fl
     known = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumns({"host": host, "path": path})
     known = known.withColumns({"rule": rule, "action": action})
     seeds = known.where("host <> ''").groupBy("host").agg(F.count_if(F.col("action") == "allow").cast("double").alias("trust"), F.count_if(F.col("action") == "block").cast("double").alias("distrust"))
-    edges = checkpointed(host_edges(known))
-    scores = propagated(edges, checkpointed(seeds.where("trust + distrust > 0")), damping, rounds)
+    edges = stored(host_edges(known))
+    scores = propagated(edges, stored(seeds.where("trust + distrust > 0")), damping, rounds, tolerance)
     bad = scores.where(F.col("distrust") > limit * (F.col("trust") + F.col("distrust"))).select("host", F.lit("block").alias("spread"))
-    out = known.select("page_id", "host", "path", "rule", "action").join(checkpointed(bad), "host", "left")
+    out = known.select("page_id", "host", "path", "rule", "action").join(stored(bad), "host", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("action", "spread", F.lit("allow")).alias("verdict"))
