@@ -1,9 +1,13 @@
 """The text preparation operators against brute force, on small tables with odd rows."""
 
+import bisect
 import hashlib
+import heapq
+import math
 import random
 import re
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -376,25 +380,88 @@ def test_mixing(spark, nothing, weights):
     for r in got:
         if not blocks or blocks[-1] != (r.source, r.block):
             blocks.append((r.source, r.block))
-    total = Counter(s for s, _ in blocks)
     assert len(set(blocks)) == len(blocks)
     count = Counter(s for _, s in rows)
-    target = {f"name:{s}" if s else "null:": (n**0.5 if weights is None else weights.get(s, 0.5)) for s, n in count.items()}
-    whole = pfair.whole_weights(target, 400)
-    weight = {s: whole[f"name:{s}" if s else "null:"] for s in count}
-    fluid, had = dict.fromkeys(count, 0.0), Counter()
-    for source, _ in blocks:
+    weight = {s: (n**0.5 if weights is None else weights.get(s, 0.5)) for s, n in count.items()}
+    total = {s: -(-n // 3) for s, n in count.items()}
+    check_shares([s for s, _ in blocks], total, weight)
+    assert pfair.mixed(nothing).count() == 0
+
+
+def check_shares(ran, total, weight):
+    """After every slot, every source is within one block of the fluid mixture by the given weights."""
+    fluid, had = dict.fromkeys(total, 0.0), Counter()
+    for source in ran:
         rest = 1.0
         while rest > 1e-9:
-            running = [s for s in count if total[s] - fluid[s] > 1e-9]
+            running = [s for s in total if total[s] - fluid[s] > 1e-9]
             everyone = sum(weight[s] for s in running)
             step = min([rest, *((total[s] - fluid[s]) * everyone / weight[s] for s in running)])
             for s in running:
                 fluid[s] += weight[s] * step / everyone
             rest -= step
         had[source] += 1
-        assert all(abs(had[s] - fluid[s]) < 1 + 1e-6 for s in count)
-    assert pfair.mixed(nothing).count() == 0
+        assert all(abs(had[s] - fluid[s]) < 1 + 1e-6 for s in total)
+    assert had == Counter(total)
+
+
+@pytest.mark.parametrize(
+    ("blocks", "target", "stretch"),
+    [
+        ([4000, 40], [0.999, 0.001], 64),  # 4 of the rare one after 4000 slots, not 10
+        ([40, 1], [1e-9, 1.0], 8),
+        ([random.Random(k).randrange(1, 40) for k in range(30)], [random.Random(-k).random() for k in range(30)], 16),
+        ([1] * 10, [1.0] * 10, 3),
+    ],
+)
+def test_schedule_keeps_given_weights(spark, blocks, target, stretch):
+    """Stretches far shorter than the schedule: their guesses are wrong and have to be mended."""
+    whole = pfair.whole_weights(dict(enumerate(target)))
+    got = sorted(pfair.schedule(spark, blocks, list(whole.values()), stretch).collect(), key=lambda r: r.slot)
+    assert [r.slot for r in got] == list(range(sum(blocks)))
+    seen = Counter()
+    for r in got:
+        assert r.block == seen[r.source]
+        seen[r.source] += 1
+    check_shares([r.source for r in got], dict(enumerate(blocks)), dict(enumerate(target)))
+
+
+def earliest_deadline_first(blocks, weights):
+    """One pass with a heap over exact fractions."""
+    order = sorted(range(len(blocks)), key=lambda s: Fraction(blocks[s], weights[s]))
+    ends, lines = [Fraction(blocks[s], weights[s]) for s in order], [(0, sum(weights))]
+    for s in order:
+        lines.append((lines[-1][0] + blocks[s], lines[-1][1] - weights[s]))
+
+    def slots(v):
+        before, rate = lines[bisect.bisect_right(ends, v)]
+        return before + rate * v
+
+    jobs = sorted((math.floor(slots(Fraction(i, w))), math.ceil(slots(Fraction(i + 1, w))), s, i) for s, (n, w) in enumerate(zip(blocks, weights)) for i in range(n))
+    waiting, out, k = [], [], 0
+    for slot in range(len(jobs)):
+        while k < len(jobs) and jobs[k][0] <= slot:
+            heapq.heappush(waiting, jobs[k][1:])
+            k += 1
+        deadline, s, i = heapq.heappop(waiting)
+        assert slot < deadline
+        out.append((s, i, slot))
+    return sorted(out)
+
+
+def test_schedule_of_a_thousand_sources(spark):
+    rng = random.Random(2)
+    blocks, target = [rng.randrange(1, 8) for _ in range(1000)], [rng.random() ** 3 + 1e-6 for _ in range(1000)]
+    weights = list(pfair.whole_weights(dict(enumerate(target))).values())
+    assert sorted(tuple(r) for r in pfair.schedule(spark, blocks, weights, 512).collect()) == earliest_deadline_first(blocks, weights)
+
+
+def test_mixed_order_by_a_key(spark):
+    """Only the key goes through the schedule, and the rows come out as without it."""
+    frame = spark.createDataFrame([(i % 50, f"s{i % 3}", f"t{i % 50}", i) for i in range(120)], "doc_id long, source string, text string, k long")
+    plain = [r.text for r in pfair.in_mixed_order(frame.drop("k")).collect()]
+    keyed = pfair.in_mixed_order(frame, key="k")
+    assert keyed.columns == ["doc_id", "source", "text"] and [r.text for r in keyed.collect()] == plain
 
 
 def test_passages(spark, docs, nothing):
