@@ -33,9 +33,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """All rows, in the order in which sources alternate by their target weights."""
+    """All rows, in the order in which sources alternate by their target weights. Rows read from files
+    are scheduled by their places there, so that the texts move only to be put into order."""
     tune(spark)
-    return in_mixed_order(docs)
+    if not docs.inputFiles():
+        return in_mixed_order(docs)
+    return in_mixed_order(in_written_order(docs, "_place"), key="_place")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
