@@ -261,6 +261,42 @@ def test_longest_first():
     assert sorted(loads.values()) == [12, 12]
 
 
+def plain_loads(weights, shards):
+    heap = [(0, s) for s in range(shards)]
+    for w in sorted(weights, reverse=True):
+        load, shard = heapq.heappop(heap)
+        heapq.heappush(heap, (load + w, shard))
+    return {s: load for load, s in heap}
+
+
+def test_equal_groups_are_dealt_at_once():
+    rng = random.Random(3)
+    for _ in range(200):
+        shards = rng.randrange(1, 9)
+        sizes = sorted({rng.randrange(1, 60) for _ in range(rng.randrange(1, 9))}, reverse=True)
+        counts = [rng.choice([1, 2, 5, 40, 300]) for _ in sizes]
+        heap = [(0, s) for s in range(shards)]
+        for size, n in zip(sizes, counts):
+            assert sum(lpt.dealt(heap, size, n)) == n
+        assert {s: load for load, s in heap} == plain_loads([w for w, n in zip(sizes, counts) for _ in range(n)], shards)
+
+
+def test_loads_are_those_of_plain_scheduling(spark):
+    """More groups than any bound on single pieces, most of a few sizes, and one large group of copies."""
+    docs = spark.range(50_000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'hot text', repeat(string(id), 1 + int(id * 7 % 40))) AS text")
+    rows = lpt.sharded(docs).collect()
+    weights, loads, shard_of = Counter(), Counter(), {}
+    for r in docs.collect():
+        weights[r.text] += len(r.text) + 1
+    text = {r.doc_id: r.text for r in docs.collect()}
+    for r in rows:
+        loads[r.shard] += r.size
+        assert shard_of.setdefault(text[r.doc_id], r.shard) == r.shard
+    assert len(weights) > 32_000 and dict(loads) == plain_loads(weights.values(), 8)
+    for shard in loads:
+        assert sorted(r.slot for r in rows if r.shard == shard) == list(range(sum(r.shard == shard for r in rows)))
+
+
 def test_decontamination(spark, docs, nothing):
     question = "If a train travels 120 km in 3 hours and Alice waits 20 minutes for it at the old station, how far does it go each hour?"
     other = question.replace("120", "450").replace("Alice", "Robert").replace(" 3 ", " 9 ")
