@@ -117,19 +117,49 @@ def test_answers_are_recorded(spark):
 
 
 def test_top_k_in_blocks(spark, monkeypatch):
+    """Every split of both sides gives the brute-force answer, ties by id included."""
     rng = np.random.default_rng(2)
     docs = rng.normal(size=(200, 8)).astype("float32")
-    wanted = rng.normal(size=(7, 8))
-    frame = spark.createDataFrame(
-        [(i, v.tolist()) for i, v in enumerate(docs)], "id BIGINT, v ARRAY<FLOAT>"
-    ).repartition(5)
+    docs[150:160] = docs[3]  # equal vectors in different slices
+    wanted = np.concatenate([rng.normal(size=(7, 8)), docs[3:4].astype("float64"), np.zeros((1, 8))])
+    rows = [(i, v.tolist()) for i, v in enumerate(docs)] + [(900, [0.0] * 8), (901, None)]
+    frame = spark.createDataFrame(rows, "id BIGINT, v ARRAY<FLOAT>").repartition(5)
     queries = spark.createDataFrame(
-        [(f"q{i}", v.tolist()) for i, v in enumerate(wanted)], "query STRING, vector ARRAY<DOUBLE>"
+        [(f"q{i}", v.tolist()) for i, v in enumerate(wanted)] + [("none", None)],
+        "query STRING, vector ARRAY<DOUBLE>",
     )
-    d = docs.astype("float64")
-    sims = (wanted @ d.T) / np.linalg.norm(wanted, axis=1)[:, None] / np.linalg.norm(d, axis=1)
-    expected = {(f"q{i}", p + 1): int(j) for i in range(7) for p, j in enumerate(np.argsort(-sims[i])[:4])}
-    for block in (100, 3):
+    d = np.concatenate([docs.astype("float64"), np.zeros((1, 8))])
+    names = [*range(200), 900]
+    expected = {}
+    for i, w in enumerate(wanted):
+        sims = (retrieval.unit(w[None]) * retrieval.unit(d)).sum(axis=1)
+        for p, j in enumerate(sorted(range(201), key=lambda j: (-sims[j], names[j]))[:4]):
+            expected[f"q{i}", p + 1] = names[j]
+    for size, block in ((20_000, 2_000), (30, 3)):
+        monkeypatch.setattr(retrieval, "SLICE", size)
         monkeypatch.setattr(retrieval, "BLOCK", block)
         found = retrieval.top_k(frame, "id", "v", queries, 4).collect()
         assert {(r["query"], r["place"]): r["doc"] for r in found} == expected
+    assert retrieval.top_k(frame.limit(0), "id", "v", queries, 4).count() == 0
+    assert retrieval.top_k(frame, "id", "v", queries.limit(0), 4).count() == 0
+
+
+def test_no_vector_passes_the_driver(spark):
+    frame = spark.createDataFrame([(1, [1.0])], "id BIGINT, v ARRAY<DOUBLE>")
+    asked = spark.createDataFrame([(1, [1.0])], "query BIGINT, vector ARRAY<DOUBLE>")
+    plan = retrieval.top_k(frame, "id", "v", asked, 1)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "CartesianProduct" not in plan
+
+
+def test_index_finds_most_and_holds_all(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    asked = docs.where("vec_id % 20 = 0").selectExpr("vec_id AS query", "embedding AS vector")
+    for size in (20_000, 500):  # a sample that is all rows, then one in four
+        monkeypatch.setattr(retrieval, "SAMPLE", size)
+        index = retrieval.CoarseIndex(docs, "vec_id", "embedding")
+        assert index.documents.count() == docs.count()
+        exact = retrieval.top_k(docs, "vec_id", "embedding", asked, 5)
+        row = retrieval.recall(index.top_k(asked, 5), exact).agg(F.sum("hits"), F.sum("wanted")).first()
+        assert row[1] == 5 * asked.count() and row[0] >= 0.9 * row[1]
+    every = index.top_k(asked, 5, probes=64).select("query", "doc", "place")
+    assert sorted(every.collect()) == sorted(exact.select("query", "doc", "place").collect())

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from velobus.bindings.registry import Tables, query, rounded
-from velobus.evaluation.retrieval import top_k
+from velobus.evaluation.retrieval import CoarseIndex, recall, top_k
 from velobus.evaluation.scores import bleu, rouge_l, score_answers
 
 
@@ -117,31 +117,35 @@ def score_new_answers(t: Tables):
     return rounded(score_answers(answers).drop("ground_truth", "llm_response"))
 
 
-@query(
-    "topk_cosine",
-    """
-WITH spread AS (
-  SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS x
-  FROM embeddings, range(1, 65) s(i) GROUP BY ALL),
-centres AS (SELECT label, list(x ORDER BY i) AS centre FROM spread GROUP BY label),
-ranked AS (
-  SELECT CAST(c.label AS VARCHAR) AS query, vec_id AS doc,
-         list_cosine_similarity(c.centre, CAST(embedding AS DOUBLE[])) AS similarity
-  FROM centres c, embeddings)
+NEIGHBOURS = 5
+
+
+def asked_vectors(t: Tables):
+    """Every twentieth vector is a query against all."""
+    asked = t.embeddings.where(F.col("vec_id") % 20 == 0)
+    return asked.select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+
+
+TOP_K_SQL = f"""
+WITH ranked AS (
+  SELECT q.vec_id AS query, d.vec_id AS doc,
+         list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])) AS similarity
+  FROM embeddings q, embeddings d WHERE q.vec_id % 20 = 0)
 SELECT query, doc, round(similarity, 6) AS similarity, CAST(place AS INTEGER) AS place
-FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, doc) AS place
-      FROM ranked)
-WHERE place <= 5
-""",
-)
+FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, doc) AS place FROM ranked)
+WHERE place <= {NEIGHBOURS}
+"""
+
+
+@query("topk_cosine", TOP_K_SQL)
 def topk_cosine(t: Tables):
-    """The five vectors closest to the mean vector of each label."""
-    spread = t.embeddings.select("label", F.posexplode("embedding").alias("i", "x"))
-    means = spread.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    centres = means.groupBy("label").agg(
-        F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c")
-    )
-    queries = centres.select(
-        F.col("label").cast("string").alias("query"), F.col("c.x").alias("vector")
-    )
-    return rounded(top_k(t.embeddings, "vec_id", "embedding", queries, 5))
+    """The five vectors closest to each query, among all."""
+    return rounded(top_k(t.embeddings, "vec_id", "embedding", asked_vectors(t), NEIGHBOURS))
+
+
+@query("topk_recall")
+def topk_recall(t: Tables):
+    """How many of the exact answers the index finds, per query."""
+    index = CoarseIndex(t.embeddings, "vec_id", "embedding")
+    exact = top_k(t.embeddings, "vec_id", "embedding", asked_vectors(t), NEIGHBOURS)
+    return recall(index.top_k(asked_vectors(t), NEIGHBOURS), exact)

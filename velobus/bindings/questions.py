@@ -6,6 +6,7 @@ from velobus.bindings.registry import Tables, query, rounded
 from velobus.bindings.views import BIKES_SQL, BUSES_SQL, bikes_view, buses_view
 from velobus.plans import questions as q
 from velobus.plans import templates
+from velobus.schemas import ENVIRONMENT_FACTORS
 from velobus.sources.tables import latest_instant
 from velobus.sources.tables import within as recent
 
@@ -215,9 +216,6 @@ def q10(t: Tables):
     return rounded(q.best_hour(bikes_view(t), buses_view(t), newest(t), DAYS).drop("answer"))
 
 
-FACTORS = ["fine_particles_pm2_5", "temperature", "precip_mm", "cloud", "visibility_km", "humidity"]
-
-
 @query(
     "q11_top_factors",
     BUSES
@@ -225,7 +223,7 @@ FACTORS = ["fine_particles_pm2_5", "temperature", "precip_mm", "cloud", "visibil
     + "long AS ("
     + "\nUNION ALL ".join(
         f"SELECT '{f}' AS factor, {i} AS place, corr(ok, {f}) AS c FROM flags"
-        for i, f in enumerate(FACTORS)
+        for i, f in enumerate(ENVIRONMENT_FACTORS)
     )
     + """)
 SELECT factor, round(c, 6) AS correlation,
@@ -234,7 +232,7 @@ FROM long WHERE c IS NOT NULL ORDER BY abs(c) DESC, place LIMIT 3
 """,
 )
 def q11(t: Tables):
-    return rounded(q.top_factors(buses_view(t), newest(t), DAYS, FACTORS))
+    return rounded(q.top_factors(buses_view(t), newest(t), DAYS))
 
 
 @query(

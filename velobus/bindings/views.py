@@ -117,6 +117,12 @@ def buses_view(t: Tables) -> DataFrame:
         ((key * 7) % 10).cast("double").alias("visibility_km"),
         (n * 3 + key % 50).cast("int").alias("humidity"),
         F.col("avg_delay").alias("wind_kph"),
+        (key % 11).cast("double").alias("uv_index"),
+        (key * 3 % 80).cast("double").alias("coarse_particles_pm10"),
+        (F.col("o_custkey") % 300 + 150).cast("double").alias("carbon_monoxide_ppb"),
+        (key * 11 % 60).cast("double").alias("nitrogen_dioxide_ppb"),
+        (n * 9 + key % 31).cast("double").alias("ozone_ppb"),
+        (F.col("o_custkey") * 5 % 23).cast("double").alias("sulfur_dioxide_ppb"),
         F.concat_ws(" ", F.lit("trip"), key.cast("string")).alias("summary_sentence"),
     )
 
@@ -145,6 +151,12 @@ buses AS (
          CAST(o_orderkey % 13 AS DOUBLE) AS precip_mm, CAST(o_orderkey % 37 AS INTEGER) AS cloud,
          CAST(o_orderkey * 7 % 10 AS DOUBLE) AS visibility_km,
          CAST(stops_count * 3 + o_orderkey % 50 AS INTEGER) AS humidity, avg_delay AS wind_kph,
+         CAST(o_orderkey % 11 AS DOUBLE) AS uv_index,
+         CAST(o_orderkey * 3 % 80 AS DOUBLE) AS coarse_particles_pm10,
+         CAST(o_custkey % 300 + 150 AS DOUBLE) AS carbon_monoxide_ppb,
+         CAST(o_orderkey * 11 % 60 AS DOUBLE) AS nitrogen_dioxide_ppb,
+         CAST(stops_count * 9 + o_orderkey % 31 AS DOUBLE) AS ozone_ppb,
+         CAST(o_custkey * 5 % 23 AS DOUBLE) AS sulfur_dioxide_ppb,
          'trip ' || o_orderkey AS summary_sentence
   FROM orders JOIN trips ON o_orderkey = l_orderkey)
 """

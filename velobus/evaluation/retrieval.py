@@ -1,14 +1,19 @@
-"""Similarity retrieval: the stored vectors closest to each query vector."""
+"""Similarity retrieval: the stored vectors closest to each query vector, exactly or by an index."""
 
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Query vectors shipped to the tasks at once; a larger query set is worked off in blocks.
-BLOCK = 2048
+from velobus.session import stored_copy
+
+SLICE = 20_000  # documents compared at a time
+BLOCK = 2_000  # queries compared at a time
+SAMPLE = 20_000  # documents an index is fitted on, at most about twice as many
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -16,67 +21,135 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, length, out=np.zeros_like(vectors), where=length > 0)
 
 
-def _block(documents: DataFrame, ids: list, matrix: np.ndarray, k: int) -> DataFrame:
-    """Top k of every task for one block of queries, then the top k of those."""
-    queries = unit(matrix)
-    id_type = documents.schema[documents.columns[0]].dataType.simpleString()
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list = [(np.empty(0, dtype=object), np.empty(0))] * len(ids)
-        for batch in batches:
-            if batch.empty:
-                continue
-            names = batch.iloc[:, 0].to_numpy()
-            sims = queries @ unit(np.stack(batch.iloc[:, 1].to_numpy()).astype(np.float64)).T
-            # Whatever reaches the k-th best of this batch can still be in the result.
-            place = max(sims.shape[1] - k, 0)
-            limits = np.partition(sims, place, axis=1)[:, place]
-            for i, limit in enumerate(limits):
-                near = np.flatnonzero(sims[i] >= limit)
-                docs = np.concatenate([best[i][0], names[near]])
-                values = np.concatenate([best[i][1], sims[i, near]])
-                order = np.lexsort((docs, -values))[:k]
-                best[i] = docs[order], values[order]
-        for query, (docs, values) in zip(ids, best):
-            if len(docs):
-                yield pd.DataFrame({"query": query, "doc": list(docs), "similarity": values})
-
-    found = documents.mapInPandas(nearest, f"query string, doc {id_type}, similarity double")
-    ranked = found.withColumn(
-        "place",
-        F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "doc")),
+def _matrix(column: pd.Series) -> np.ndarray:
+    return unit(np.stack(column.to_numpy()).astype(np.float64))
+
+
+def nearest_of(queries: pd.DataFrame, documents: pd.DataFrame, k: int) -> pd.DataFrame:
+    """(query, doc, similarity): the k best of one slice for every query of one block.
+
+    The product of the matrices only proposes; what it puts near the k-th best is multiplied again
+    pair by pair, so that equal vectors get equal similarities wherever they lie.
+    """
+    ids, names = queries["query"].to_numpy(), documents["doc"].to_numpy()
+    left, right = _matrix(queries["vector"]), _matrix(documents["vector"])
+    rough = left @ right.T
+    place = max(rough.shape[1] - k, 0)
+    limit = np.partition(rough, place, axis=1)[:, place]
+    row, column = np.nonzero(rough >= limit[:, None] - 1e-9)
+    similarity = np.concatenate(
+        [(left[row[i : i + SLICE]] * right[column[i : i + SLICE]]).sum(axis=1) for i in range(0, len(row), SLICE)]
+    )
+    found = pd.DataFrame({"row": row, "doc": names[column], "similarity": similarity})
+    found = found.sort_values(["row", "similarity", "doc"], ascending=[True, False, True])
+    found = found.groupby("row").head(k)
+    return pd.DataFrame({"query": ids[found["row"]], "doc": found["doc"], "similarity": found["similarity"]})
+
+
+def _spread(frame: DataFrame, own: str, other: str, key: str) -> DataFrame:
+    """Rows in a part of their group by hash, once for every part of the other side."""
+    placed = frame.withColumn(own, F.pmod(F.xxhash64(key), F.col(f"n_{own}")).cast("int"))
+    return placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)))
+
+
+def _parts(n, size: int):
+    return F.greatest(F.ceil(n / size), F.lit(1)).cast("int")
+
+
+def _best(documents: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best documents of each query among those of its cells.
+
+    ``documents`` has (cell, doc, vector), ``queries`` (cell, query, vector), both with the numbers
+    n_slice and n_block of their cell. Within a cell both sides are cut by the hash of their ids,
+    into slices of documents and blocks of queries of a bounded size; every slice meets every block
+    in a group of its own, however large a cell is.
+    """
+    kinds = {name: dict(f.dtypes)[name] for f, name in ((documents, "doc"), (queries, "query"))}
+    left = _spread(queries, "block", "slice", "query").select("cell", "slice", "block", "query", "vector")
+    right = _spread(documents, "slice", "block", "doc").select("cell", "slice", "block", "doc", "vector")
+
+    def meet(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or stored.empty:
+            return pd.DataFrame({"query": asked["query"].iloc[:0], "doc": stored["doc"].iloc[:0], "similarity": np.zeros(0)})
+        return nearest_of(asked, stored, k)
+
+    key = ["cell", "slice", "block"]
+    near = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(
+        meet, f"query {kinds['query']}, doc {kinds['doc']}, similarity double"
     )
-    return ranked.where(F.col("place") <= k)
+    order = Window.partitionBy("query").orderBy(F.desc("similarity"), "doc")
+    return near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
-def top_k(
-    documents: DataFrame, id_col: str, vector: str, queries: DataFrame, k: int
-) -> DataFrame:
+def top_k(documents: DataFrame, id_col: str, vector: str, queries: DataFrame, k: int) -> DataFrame:
     """(query, doc, similarity, place): the k most similar documents per query, exactly.
 
-    ``queries`` has (query, vector). Queries are few and documents many: a block of at most
-    ``BLOCK`` query vectors goes to every task as one matrix, each task keeps k documents per
-    query, and only those are shuffled. More queries mean more blocks, each a pass over the
-    documents, never a bigger block.
+    ``queries`` has (query, vector); ids are unique on both sides and all vectors equally long.
+    Every query is compared with every document, in groups of bounded size that meet by a shuffle;
+    each group hands on k rows per query. No vector reaches the driver. Null vectors are left out;
+    a vector of zeros has similarity 0 to all.
     """
-    stored = documents.select(id_col, vector)
-    parts, ids, rows = [], [], []
-
-    def flush():
-        parts.append(_block(stored, list(ids), np.array(rows, dtype=np.float64), k))
-        ids.clear()
-        rows.clear()
-
-    for row in queries.select(F.col("query").cast("string"), "vector").toLocalIterator():
-        ids.append(row[0])
-        rows.append(row[1])
-        if len(ids) == BLOCK:
-            flush()
-    if ids:
-        flush()
-    if not parts:
-        return _block(stored.limit(0), [], np.zeros((0, 1)), k)
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    stored = documents.select(F.col(id_col).alias("doc"), F.col(vector).alias("vector")).where("vector IS NOT NULL")
+    asked = queries.select("query", "vector").where("vector IS NOT NULL")
+    sizes = {
+        "cell": F.lit(0),
+        "n_slice": _parts(F.lit(documents.count()), SLICE),
+        "n_block": _parts(F.lit(queries.count()), BLOCK),
+    }
+    return _best(stored.withColumns(sizes), asked.withColumns(sizes), k)
+
+
+class CoarseIndex:
+    """Documents in the cells of their nearest centre; a query looks into its nearest cells only.
+
+    The centres are fitted on a sample by the hash of the ids (about ``SAMPLE`` rows, or all if
+    there are fewer); every document with a vector is indexed. ``cells`` bounds all that tasks are
+    sent. Kept as a table: build once, search often.
+    """
+
+    def __init__(self, documents: DataFrame, id_col: str, vector: str, cells: int = 64, seed: int = 42):
+        rows = documents.select(F.col(id_col).alias("doc"), F.col(vector).alias("vector")).where("vector IS NOT NULL")
+        every = max(1, rows.count() // SAMPLE)
+        sample = rows.where(F.pmod(F.xxhash64(F.lit(seed), "doc"), F.lit(every)) == 0)
+        numbers = F.col("vector").cast("array<double>")
+        known = sample.where(F.exists(numbers, lambda x: x != 0))  # zeros have no direction
+        features = known.select(array_to_vector(numbers).alias("features"))
+        model = KMeans(k=cells, seed=seed, distanceMeasure="cosine", maxIter=20).fit(features)
+        self.centres = unit(np.array(model.clusterCenters()))
+        self.documents = stored_copy(self._cells(rows, "doc", 1), "index")
+
+    def _cells(self, frame: DataFrame, name: str, probes: int) -> DataFrame:
+        """Each row once for each of its ``probes`` nearest cells."""
+        centres = self.centres
+        kind, values = dict(frame.dtypes)[name], dict(frame.dtypes)["vector"]
+
+        def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if batch.empty:
+                    continue
+                near = np.argsort(-(_matrix(batch["vector"]) @ centres.T), axis=1, kind="stable")[:, :probes]
+                out = batch.loc[batch.index.repeat(near.shape[1])].copy()
+                out.insert(0, "cell", near.ravel().astype(np.int32))
+                yield out
+
+        return frame.select(name, "vector").mapInPandas(assign, f"cell int, {name} {kind}, vector {values}")
+
+    def top_k(self, queries: DataFrame, k: int, probes: int = 40) -> DataFrame:
+        """As top_k(), among the documents of each query's ``probes`` nearest cells.
+
+        The default suits vectors without much structure: on random ones 40 of 64 cells hold about
+        0.95 of the answers (16 hold 0.78). Clustered vectors need far fewer.
+        """
+        asked = self._cells(queries.select("query", "vector").where("vector IS NOT NULL"), "query", probes)
+        n = F.count(F.lit(1))
+        slices = self.documents.groupBy("cell").agg(_parts(n, SLICE).alias("n_slice"))
+        blocks = asked.groupBy("cell").agg(_parts(n, BLOCK).alias("n_block"))
+        sizes = F.broadcast(slices.join(blocks, "cell"))  # one row per cell
+        return _best(self.documents.join(sizes, "cell"), asked.join(sizes, "cell"), k)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(query, hits, wanted): how many of the exact answers of each query were found."""
+    hit = found.select("query", "doc", F.lit(1).alias("hit"))
+    both = exact.select("query", "doc").join(hit, ["query", "doc"], "left")
+    return both.groupBy("query").agg(F.count("hit").alias("hits"), F.count(F.lit(1)).alias("wanted"))
