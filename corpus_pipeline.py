@@ -63,7 +63,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, folder: str) -> DataFrame:
     """The result of the last stage over documents; every stage's result lies in the shared folder."""
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    docs = tune(spark).read.parquet(f"{folder}/documents.parquet")
     for name, stage in STAGES:
         path = shared_folder(spark, f"pipeline-{name}")
         stage(spark, docs, folder).write.parquet(path)
