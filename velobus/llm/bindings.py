@@ -4,7 +4,6 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from velobus.bindings.registry import Tables
 from velobus.llm import (
     archives,
@@ -223,8 +222,3 @@ FROM near{rounds} JOIN c{rounds} ON best.k = cluster
 @query("op13_hadamard_clusters", clustering_sql(40, 5))
 def op13(t: Tables) -> DataFrame:
     return hadamard.clustered(t.embeddings)
-
-
-@query("pipeline", corpus_pipeline.ORACLE_SQL)
-def pipeline(t: Tables) -> DataFrame:
-    return corpus_pipeline.run(t.spark, t.folder)
