@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from velobus.ml import clusters, features, registry
 from velobus.schemas import BIKE_MESSAGE, CLUSTER_BIKE_FEATURES, struct_type
-from velobus.sinks import tables
+from velobus.sinks import commits, log, tables
 from velobus.sources import topics
 from velobus.streaming import jobs
 
@@ -66,18 +66,18 @@ def weather(spark, tmp_path):
 
 
 def test_environment_ingest(spark, weather):
-    rows = spark.read.parquet(weather.rows).orderBy("timestamp").collect()
+    rows = weather.read(spark, "rows").orderBy("timestamp").collect()
     assert [r["condition"] for r in rows] == ["Mist", "Rain", "Hot"]
     assert float(rows[0]["temperature"]) == 7.25
     assert rows[2]["temperature"] is None
-    bad = spark.read.parquet(weather.quarantine).collect()
+    bad = weather.read(spark, "quarantine").collect()
     assert [r["value"] for r in bad] == ["not json"]
 
 
 def bikes_run(spark, tmp_path, weather, cache=None, files=None):
     paths = jobs.Paths(str(tmp_path), "bikes")
     values = topics.file_topic(spark, str(tmp_path / "bikes_topic"), files)
-    run(jobs.run_sector(jobs.BIKES, values, weather.rows, paths, "city", cache))
+    run(jobs.run_sector(jobs.BIKES, values, weather, paths, "city", cache))
     return paths
 
 
@@ -86,7 +86,7 @@ def test_bike_stream_without_models(spark, tmp_path, weather):
     land(topic, "a.json", [bike_message(1, 1100), bike_message(2, 1900, name=None),
                            bike_message(3, 1900, capacity=None), "{broken"])
     paths = bikes_run(spark, tmp_path, weather)
-    rows = spark.read.parquet(paths.rows).orderBy("station_id").collect()
+    rows = paths.read(spark, "rows").orderBy("station_id").collect()
     assert [(r["station_id"], r["name"], r["weather_condition"]) for r in rows] == [
         ("s1", "ST1", "Mist"), ("s2", "unknown", "Rain"),
     ]
@@ -96,15 +96,19 @@ def test_bike_stream_without_models(spark, tmp_path, weather):
     assert (first["bike_binary_label"], first["bike_regression_prediction_success"]) == (None, False)
     assert first["summary_sentence"].startswith("Stacja rowerowa 'ST1' (ID: s1)")
 
-    documents = spark.read.json(paths.documents).orderBy("metadata.station_id").collect()
+    documents = paths.read(spark, "documents").orderBy("metadata.station_id").collect()
     assert [d["workspace"] for d in documents] == ["city", "city"]
     assert documents[0]["text"] == first["summary_sentence"]
     assert documents[0]["metadata"]["cluster_id"] == "N/A"
-    lost = {r["reason"]: r["record"] for r in spark.read.parquet(paths.quarantine).collect()}
+    lost = {r["reason"]: r["record"] for r in paths.read(spark, "quarantine").collect()}
     assert lost["unreadable"] == "{broken"
     assert '"station_id":"s3"' in lost["missing value"]
-    metrics = spark.read.parquet(paths.metrics).first()
-    assert (metrics["scored"], metrics["clustered"], metrics["service"]) == (2, 0, "bikes")
+    log = {(r["service"], r["level"], r["event"]): r["n"] for r in paths.read(spark, "log").collect()}
+    assert log == {
+        ("bikes", "INFO", "read"): 4, ("bikes", "INFO", "stored"): 2, ("bikes", "INFO", "clustered"): 0,
+        ("bikes", "ERROR", "unreadable"): 1, ("bikes", "WARNING", "incomplete"): 1,
+        ("bikes", "WARNING", "speechless"): 0,
+    }
 
 
 def test_restart_reads_only_new_files(spark, tmp_path, weather):
@@ -113,7 +117,7 @@ def test_restart_reads_only_new_files(spark, tmp_path, weather):
     bikes_run(spark, tmp_path, weather)
     land(topic, "b.json", [bike_message(2, 1100)])
     paths = bikes_run(spark, tmp_path, weather)
-    rows = spark.read.parquet(paths.rows)
+    rows = paths.read(spark, "rows")
     assert sorted(r["station_id"] for r in rows.collect()) == ["s1", "s2"]
     assert rows.select("batch_id").distinct().count() == 2
 
@@ -122,8 +126,8 @@ def test_no_weather_drops_everything(spark, tmp_path):
     land(tmp_path / "bikes_topic", "a.json", [bike_message(1, 1100)])
     nowhere = jobs.Paths(str(tmp_path), "environment")
     paths = bikes_run(spark, tmp_path, nowhere)
-    assert spark.read.parquet(paths.quarantine).count() == 1
-    assert spark.read.schema("x INT").parquet(paths.rows).count() == 0
+    assert paths.read(spark, "quarantine").count() == 1
+    assert paths.read(spark, "rows", "x INT").count() == 0
 
 
 def test_bus_stream_equals_batch(spark, tmp_path, weather):
@@ -135,9 +139,9 @@ def test_bus_stream_equals_batch(spark, tmp_path, weather):
         ] + [bus_message(99, 1000, [1], trip_id=None)])
     paths = jobs.Paths(str(tmp_path), "buses")
     values = topics.file_topic(spark, str(topic), 1)
-    run(jobs.run_sector(jobs.BUSES, values, weather.rows, paths, "city"))
-    stored = spark.read.parquet(paths.rows).drop("batch_id", "event_date")
-    assert spark.read.parquet(paths.rows).select("batch_id").distinct().count() == 4
+    run(jobs.run_sector(jobs.BUSES, values, weather, paths, "city"))
+    stored = paths.read(spark, "rows").drop("run", "attempt", "batch_id", "event_date")
+    assert paths.read(spark, "rows").select("batch_id").distinct().count() == 4
 
     good, bad = topics.messages(spark.read.text(str(topic)), "buses")
     assert bad.count() == 0
@@ -211,7 +215,104 @@ def test_models_are_swapped_between_batches(spark, tmp_path, weather):
     land(topic, "c.json", [bike_message(6, 1100, name="new")])
     paths = bikes_run(spark, tmp_path, weather, cache)
     assert cache.loaded["bikes_kmeans"][0] != first_path
-    rows = {r["station_id"]: r for r in spark.read.parquet(paths.rows).collect()}
+    rows = {r["station_id"]: r for r in paths.read(spark, "rows").collect()}
     assert rows["s1"]["cluster_id"] is None
     assert all(rows[f"s{i}"]["cluster_id"] in (0, 1) for i in range(2, 7))
     assert "Stacja została przypisana do klastra" in rows["s6"]["summary_sentence"]
+
+
+def test_a_new_checkpoint_overwrites_nothing(spark, tmp_path, weather):
+    """The checkpoint is lost, the stream starts anew from other messages: both runs' rows are there."""
+    topic = tmp_path / "bikes_topic"
+    land(topic, "a.json", [bike_message(1, 1100)])
+    paths = bikes_run(spark, tmp_path, weather)
+    (tmp_path / "bikes" / "checkpoint").rename(tmp_path / "lost")
+    (topic / "a.json").rename(tmp_path / "a.json")
+    land(topic, "b.json", [bike_message(2, 1100)])
+    bikes_run(spark, tmp_path, weather)
+    rows = paths.read(spark, "rows").collect()
+    assert sorted((r["station_id"], r["batch_id"]) for r in rows) == [("s1", 0), ("s2", 0)]
+    assert len({r["run"] for r in rows}) == 2
+
+
+def test_a_crash_between_the_sinks_is_repaired(spark, tmp_path, weather, monkeypatch):
+    """Documents are written, rows are not: nothing is read until the batch has gone through whole."""
+    topic = tmp_path / "bikes_topic"
+    land(topic, "a.json", [bike_message(1, 1100), bike_message(2, 1100)])
+    paths = jobs.Paths(str(tmp_path), "bikes")
+
+    def broken(frame, folder):
+        tables.write_plain(frame, folder)
+        raise RuntimeError("lost after writing")
+
+    whole = tables.write_dated
+    monkeypatch.setattr(tables, "write_dated", broken)
+    values = topics.file_topic(spark, str(topic))
+    query = jobs.run_sector(jobs.BIKES, values, weather, paths, "city")
+    with pytest.raises(Exception, match="lost after writing"):
+        query.awaitTermination()
+    assert list((tmp_path / "bikes" / "documents").rglob("*.json"))
+    assert paths.read(spark, "documents", "text STRING").count() == 0
+    assert paths.read(spark, "rows", "station_id STRING").count() == 0
+    monkeypatch.setattr(tables, "write_dated", whole)
+    bikes_run(spark, tmp_path, weather)
+    assert paths.read(spark, "documents").count() == paths.read(spark, "rows").count() == 2
+
+
+def test_a_committed_batch_is_not_written_again(spark, tmp_path, weather):
+    """The stream's own note of the batch is lost after the commit: it is repeated and skipped."""
+    land(tmp_path / "bikes_topic", "a.json", [bike_message(1, 1100)])
+    paths = bikes_run(spark, tmp_path, weather)
+    for name in ("0", ".0.crc"):
+        note = tmp_path / "bikes" / "checkpoint" / "commits" / name
+        if note.exists():
+            note.rename(tmp_path / f"note{name}")
+    bikes_run(spark, tmp_path, weather)
+    assert paths.read(spark, "rows").count() == 1
+    assert len(list((tmp_path / "bikes" / "rows").rglob("attempt=*"))) == 1
+
+
+def test_weather_read_does_not_grow_with_history(spark, tmp_path):
+    """A year of hourly weather: a batch reads the days it spans and one on either side."""
+    topic = tmp_path / "environment_topic"
+    for month in range(4):
+        land(topic, f"{month}.json", [environment_message(86_400 * (30 * month + d) + 60 * m) for d in range(30) for m in (5, 700)])
+    paths = jobs.Paths(str(tmp_path), "environment")
+    run(jobs.ingest_environment(topics.file_topic(spark, str(topic), 1), paths))
+    assert paths.read(spark, "rows").count() == 240
+    whole = paths.read(spark, "rows")
+    for first, last, most in ((86_400 * 40 + 10, 86_400 * 41 + 5, 8), (86_400 * 500, 86_400 * 501, 2), (-86_400 * 3, -86_400 * 2, 2)):
+        facts = spark.createDataFrame([(first,), ((first + last) // 2,), (last,)], "s BIGINT").selectExpr("timestamp_seconds(s) AS at")
+        near = jobs.environment_near(spark, paths, facts, "at")
+        assert 0 < near.count() <= most
+        read = [jobs.enrich_with_environment(facts.withColumnRenamed("at", "event_time"), w) for w in (near, whole)]
+        assert sorted(map(str, read[0].collect())) == sorted(map(str, read[1].collect()))
+    assert jobs.environment_near(spark, paths, facts.where("false"), "at").count() == 0
+
+
+def test_records_are_created_once(spark, tmp_path):
+    folder = str(tmp_path / "records")
+    assert commits.records(spark, folder) == {}
+    assert commits.commit(spark, folder, "a", {"x": 1})
+    assert not commits.commit(spark, folder, "a", {"x": 2})
+    (tmp_path / "records" / "cut.json").write_text('{"x": ')
+    assert commits.records(spark, folder) == {"a": {"x": 1}}
+
+
+def test_streams_are_logged_from_outside(spark, tmp_path):
+    import time
+
+    listener = log.StreamLog(spark, str(tmp_path / "log"))
+    spark.streams.addListener(listener)
+    try:
+        land(tmp_path / "in", "a.json", ["x", "y"])
+        stream = topics.file_topic(spark, str(tmp_path / "in")).writeStream.queryName("letters")
+        run(stream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start())
+        for _ in range(100):
+            time.sleep(0.2)
+            seen = spark.read.schema(log.LOG_TABLE).parquet(str(tmp_path / "log")).collect() if (tmp_path / "log").exists() else []
+            if any(r["event"] == "ended" for r in seen):
+                break
+    finally:
+        spark.streams.removeListener(listener)
+    assert {("letters", "started", 1), ("letters", "batch", 2)} <= {(r["service"], r["event"], r["n"]) for r in seen}

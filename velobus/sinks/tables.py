@@ -29,6 +29,20 @@ def write_dated_batch(frame: DataFrame, path: str, batch_id: int, time: str = "t
     dated.write.mode("overwrite").partitionBy("event_date").parquet(f"{path}/batch_id={batch_id}")
 
 
+def write_plain(frame: DataFrame, folder: str) -> None:
+    """Write a folder that does not exist yet; commits.py makes it count."""
+    frame.write.parquet(folder)
+
+
+def write_dated(frame: DataFrame, folder: str, time: str = "timestamp") -> None:
+    """The same, split by event date for partition pruning."""
+    frame.withColumn("event_date", F.to_date(time)).write.partitionBy("event_date").parquet(folder)
+
+
+def write_json(frame: DataFrame, folder: str) -> None:
+    frame.write.json(folder)
+
+
 def read_batches(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
