@@ -85,3 +85,25 @@ def test_fractions_are_refused(spark):
     nested = frame.select(F.array(F.struct("delay")).alias("estimated_stops"))
     with pytest.raises(TypeError):
         with_delay_statistics(nested)
+
+
+def test_trend_of_a_large_trip_in_stretches(spark):
+    """One trip with most of the rows is cut into stretches; every cut gives the same trend."""
+    import random
+
+    rng = random.Random(4)
+    rows = [("hot", i // 3, i, rng.choice([None, *range(5)])) for i in range(3000)]
+    rows += [(f"t{i % 40}", i, i, rng.randrange(3)) for i in range(400)] + [(None, 1, 1, 1), (None, 2, 2, 2)]
+    frame = spark.createDataFrame(rows, "trip STRING, at INT, tie INT, delay INT").repartition(5)
+    want = {}
+    for trip in {r[0] for r in rows}:
+        d = [r[3] for r in sorted((r for r in rows if r[0] == trip), key=lambda r: r[1:3]) if r[3] is not None]
+        steps = [b - a for a, b in zip(d, d[1:])]
+        want[trip] = (sum(s > 0 for s in steps), sum(s < 0 for s in steps))
+    for slices in (2, 16):
+        found = delay_trend(frame, ["trip"], ["at", "tie"], slices=slices)
+        assert {r["trip"]: (r["rises"], r["falls"]) for r in found.collect()} == want
+    assert delay_trend(frame.limit(0), ["trip"], ["at", "tie"]).count() == 0
+    stamped = frame.withColumn("at", F.timestamp_seconds("at"))
+    found = delay_trend(stamped, ["trip"], ["at", "tie"], slices=8)
+    assert {r["trip"]: (r["rises"], r["falls"]) for r in found.collect()} == want

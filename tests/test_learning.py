@@ -150,3 +150,19 @@ def test_cross_validation_runs(spark):
     ready = features.feature_pipeline(frame, ["x"]).transform(frame)
     estimator = supervised.candidates("binary", "y", 120)["LogisticRegression"]
     assert 0.5 < supervised.cross_validated(estimator, "binary", "y", ready) <= 1
+
+
+def test_encode_in_slices(spark):
+    import random
+
+    rng = random.Random(1)
+    words = ["".join(rng.choice("abcé漢") for _ in range(rng.randrange(0, 12))) for _ in range(300)] + ["sharedprefix1", "sharedprefix2", None]
+    frame = spark.createDataFrame([(w,) for w in words * 2], "w STRING").repartition(4)
+    order = sorted({w for w in words if w is not None}, key=lambda w: w.encode())
+    want = {w: i for i, w in enumerate(order)} | {None: None}
+    for slices in (None, 2, 40):
+        coded = features.encode(frame, "w", "code", slices)
+        assert {r["w"]: r["code"] for r in coded.collect()} == want
+        plan = coded._jdf.queryExecution().optimizedPlan().toString()
+        assert "windowspecdefinition(_word" not in plan
+    assert features.encode(frame.limit(0), "w", "code").count() == 0

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["trips", "records", "questions", "evaluation", "learning", "streams"]
+MODULES = ["trips", "records", "questions", "evaluation", "learning", "streams", "jobs"]
 
 
 def load():

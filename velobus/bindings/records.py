@@ -1,5 +1,6 @@
 """Row policies, texts and counters bound to the given tables."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from velobus.bindings.registry import Tables, query
@@ -10,8 +11,9 @@ from velobus.functions.text import (
     bus_sentence,
     display_time,
 )
+from velobus.ml import registry
 from velobus.operators import records
-from velobus.operators.feeds import daylight_flag, epoch_instant, latest_per_key
+from velobus.operators.feeds import daylight_flag, epoch_instant
 from velobus.schemas import BIKE_MULTICLASS_LABELS, UNKNOWN_LABELS
 
 
@@ -278,15 +280,16 @@ SELECT model_name, version, quality_metric FROM (
 """,
 )
 def registry_latest(t: Tables):
-    # The version a key has reached is its number of rows, so no ordering is needed to count it.
-    named = t.orders.select(
+    order = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    versions = t.orders.select(
         F.format_string("model-%s", F.col("o_custkey").cast("string")).alias("model_name"),
-        "o_orderkey",
+        F.row_number().over(order).alias("version"),
         F.col("o_totalprice").alias("quality_metric"),
+        F.lit(None).cast("string").alias("path"),
+        F.lit(False).alias("is_new_model_available"),
+        F.timestamp_seconds(F.lit(0)).alias("last_updated"),
     )
-    versions = named.groupBy("model_name").agg(F.count(F.lit(1)).alias("version"))
-    current = latest_per_key(named, ["model_name"], ["o_orderkey"], ["quality_metric"])
-    return current.join(versions, "model_name").select("model_name", "version", "quality_metric")
+    return registry.current(versions).select("model_name", F.col("version").cast("bigint").alias("version"), "quality_metric")
 
 
 @query(

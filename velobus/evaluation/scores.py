@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from velobus.sources.tables import unscored_condition
+from velobus.schemas import ANSWERS_TABLE
+from velobus.sinks.keyed import KeyedTable
+from velobus.sources.tables import unscored_answers, unscored_condition
 
 # Fixed value: a token is a run of letters and digits, or one other visible character.
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
@@ -150,3 +152,22 @@ def record_answers(questions: DataFrame, answers: DataFrame, run_time: Column) -
         F.lit(None).cast("double").alias("bleu_score"),
         F.lit(None).cast("double").alias("rouge_score"),
     )
+
+
+ANSWER_KEY = ("timestamp", "question_key", "question_text")
+
+
+def answers_table(spark, root: str) -> KeyedTable:
+    """The recorded answers; scoring appends the scored rows as a delta."""
+    return KeyedTable(spark, root, ANSWERS_TABLE, ANSWER_KEY)
+
+
+def score_cycle(table: KeyedTable) -> int:
+    """Score what the newest state of the table lacks, append it, and return the table's version.
+
+    Two cycles at once append the same scores; answers recorded meanwhile are left for the next.
+    """
+    answers = table.read()
+    todo = unscored_answers(answers).withColumn("answer_id", F.to_json(F.struct(*ANSWER_KEY)))
+    scored = score_answers(todo).where("bleu_score IS NOT NULL AND rouge_score IS NOT NULL")
+    return table.append(scored.select(*answers.columns))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from velobus.functions.statistics import most_frequent
-from velobus.operators.ordered import first_by_hash
+from velobus.operators.ordered import first_by_hash, with_slice
 
 TEST_ONE_IN = 5
 SEED = 42
@@ -77,10 +77,23 @@ def known_category(value: Column, labels: list[str]) -> Column:
     return F.when(value.isin(labels), value).otherwise(F.lit(fallback))
 
 
-def encode(frame: DataFrame, column: str, output: str) -> DataFrame:
-    """Alphabetical 0-based class number. The window spans the vocabulary, not the rows."""
+def encode(frame: DataFrame, column: str, output: str, slices: int | None = None) -> DataFrame:
+    """Alphabetical 0-based class number.
+
+    The vocabulary is cut into slices by the first seven bytes of its words, numbered within them,
+    and a slice starts where the counts of the slices before it end: one count per slice is all
+    that comes together.
+    """
     words = frame.select(F.col(column).alias("_word")).where(F.col("_word").isNotNull()).distinct()
-    numbered = words.select("_word", (F.row_number().over(Window.orderBy("_word")) - 1).alias(output))
+    start = F.rpad(F.hex(F.substring(F.encode("_word", "UTF-8"), 1, 7)), 14, "0")
+    placed = with_slice(words, F.conv(start, 16, 10).cast("bigint"), "_slice", slices)
+    counts = placed.groupBy("_slice").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.agg(F.collect_list(F.struct("_slice", "n"))).scalar()
+    place = F.row_number().over(Window.partitionBy("_slice").orderBy("_word"))
+    ranked = placed.select("_word", "_slice", place.alias("_place")).withColumn("_counts", counts)
+    earlier = F.filter("_counts", lambda c: c["_slice"] < F.col("_slice"))
+    begin = F.aggregate(earlier, F.lit(0).cast("bigint"), lambda n, c: n + c["n"])
+    numbered = ranked.select("_word", (begin + F.col("_place") - 1).cast("int").alias(output))
     return frame.join(numbered, frame[column] == numbered["_word"], "left").drop("_word")
 
 

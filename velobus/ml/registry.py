@@ -15,6 +15,7 @@ from pyspark.errors import AnalysisException
 
 from velobus.operators.feeds import latest_per_key
 from velobus.schemas import MODEL_NAMES, REGISTRY_TABLE
+from velobus.sinks.commits import create_once
 
 LOG = logging.getLogger(__name__)
 COLUMNS = ["version", "quality_metric", "path", "is_new_model_available", "last_updated"]
@@ -82,16 +83,19 @@ class Registry:
     def publish(self, name: str, model: PipelineModel, quality: float) -> int:
         """Save the model as a new staged version and append its registry row.
 
-        Every attempt has a folder of its own, so nothing a reader may hold is ever overwritten.
+        Every attempt has a folder of its own, so nothing a reader may hold is ever overwritten. The
+        version is claimed by creating a file: of two trainers at once, the second gets the next.
         """
-        row = self._entry(name)
-        version = (row["version"] if row else 0) + 1
-        path = f"{self.root}/models/{name}/version={version}-{uuid.uuid4().hex}"
+        path = f"{self.root}/models/{name}/{uuid.uuid4().hex}"
         model.write().save(path)
-        entry = self.spark.createDataFrame([(name, float(quality), path)],
-                                           "model_name STRING, quality_metric DOUBLE, path STRING")
-        rows = next_versions(self.versions(), entry)
-        rows.coalesce(1).write.mode("append").parquet(self.table)
+        trained = self.spark.createDataFrame([(name, float(quality), path)],
+                                             "model_name STRING, quality_metric DOUBLE, path STRING")
+        rows = next_versions(self.versions(), trained)
+        version = rows.first()["version"]
+        while not create_once(self.spark, f"{self.root}/claims/{name}/{version}", path):
+            version += 1
+        claimed = rows.withColumn("version", F.lit(version))
+        claimed.coalesce(1).write.mode("append").parquet(self.table)
         return version
 
     def promote(self, name: str) -> None:

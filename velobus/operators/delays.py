@@ -1,9 +1,14 @@
 """Delay statistics of a trip: from a nested stop list, and from flat stop rows."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from velobus.operators.ordered import with_slice
+from velobus.session import shuffle_width
+
 
 def trend_label(rises: Column, falls: Column) -> Column:
     """A direction wins when it occurs more than one and a half times as often as the other."""
@@ -114,25 +119,66 @@ def with_delay_statistics(messages: DataFrame, stops: str = "estimated_stops") -
     return frame.select(*kept, *columns)
 
 
+def _ordinal(frame: DataFrame, column: str) -> Column:
+    """A whole number that grows with the column."""
+    kind = frame.schema[column].dataType
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("bigint")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return F.unix_micros(F.col(column).cast("timestamp"))
+    return F.floor(F.col(column)).cast("bigint")
+
+
 def delay_trend(
-    stops: DataFrame, keys: list[str], position: list[str], delay: str = "delay"
+    stops: DataFrame,
+    keys: list[str],
+    position: list[str],
+    delay: str = "delay",
+    slices: int | None = None,
 ) -> DataFrame:
     """Rises, falls and the trend label per trip, from flat stop rows.
 
     Rows of a trip that share position and delay cannot change the trend; merging them first
     (map-side) bounds what a trip can bring into the ordered step by its distinct positions.
+
+    A stretch of a trip is summed up by its first and last delay, its rises and its falls, and two
+    stretches that follow each other are joined by comparing the last with the first. A trip that
+    holds more than its share of all rows is cut into stretches by its first position column, so no
+    task sees it whole; the others are one stretch each.
     """
-    known = stops.where(F.col(delay).isNotNull()).groupBy(*keys, *position, delay).agg(
-        F.count(F.lit(1)).alias("_copies")
+    width = slices or shuffle_width(stops.sparkSession)
+    facts = stops.where(F.col(delay).isNotNull())
+    known = facts.groupBy(*keys, *position, delay).agg(F.count(F.lit(1)).alias("_copies"))
+    n = F.count(F.lit(1))
+    # At most 4 * width trips can each hold more than that part of all rows.
+    large = facts.groupBy(*[F.col(k).alias(f"_on_{k}") for k in keys]).agg(n.alias("_n"))
+    large = large.where(F.col("_n") * 4 * width > facts.agg(n).scalar())
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_on_{k}")) for k in keys])
+    marked = known.join(F.broadcast(large), same, "left").withColumn("_at", _ordinal(known, position[0]))
+    cut = with_slice(marked, F.col("_at"), "_slice", width, marked.where("_n IS NOT NULL"))
+    cut = cut.withColumn("_slice", F.when(F.col("_n").isNull(), -1).otherwise(F.col("_slice")))
+
+    order = [*position, delay]
+    inside = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    step = F.col("_step")
+    stretches = (
+        cut.withColumn("_step", F.col(delay) - F.lag(delay).over(inside))
+        .groupBy(*keys, "_slice")
+        .agg(
+            F.count_if(step > 0).alias("_up"),
+            F.count_if(step < 0).alias("_down"),
+            F.min_by(delay, F.struct(*order)).alias("_first"),
+            F.max_by(delay, F.struct(*order)).alias("_final"),
+        )
     )
-    inside = Window.partitionBy(*keys).orderBy(*position, delay)
-    step = F.col(delay) - F.lag(delay).over(inside)
+    # One row per trip, or per slice of a large one.
+    across = Window.partitionBy(*keys).orderBy("_slice")
+    joint = stretches.withColumn("_step", F.col("_first") - F.lag("_final").over(across))
     return (
-        known.withColumn("_step", step)
-        .groupBy(*keys)
+        joint.groupBy(*keys)
         .agg(
-            F.count_if(F.col("_step") > 0).alias("rises"),
-            F.count_if(F.col("_step") < 0).alias("falls"),
+            (F.sum("_up") + F.count_if(step > 0)).alias("rises"),
+            (F.sum("_down") + F.count_if(step < 0)).alias("falls"),
         )
         .withColumn("delay_trend", trend_label(F.col("rises"), F.col("falls")))
     )
