@@ -138,7 +138,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 25, rows: i
     with every member. Two members linked with the hub need no more. If x is not, then it can only
     be linked with a y that shares a shingle which the hub lacks, or that is so small that
     85 * (|x| + |y|) <= 185 * |x and hub| (for 85 percent): the shingles that a hub lacks form
-    buckets of their own. In those, some members lead, the others are compared with the leaders
+    buckets of their own, and so do a hub's members of such a size. In those, some members lead, the others are compared with the leaders
     outside their component, and leaders then leave; a bucket of one component is done, the rest go
     on with four times as many leaders. A pair is compared only if it could be linked with the
     bucket's shingle as the first that both have and the hub lacks: of any two, one bucket is that.
@@ -175,12 +175,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 25, rows: i
     # beyond: how many of its shingles that the hub lacks are not before this one.
     beside = met.select("a", F.col("b").alias("rep"), "n", "shared", "linked", F.posexplode("rest").alias("place", "s"))
     beside = beside.select(F.xxhash64("a", "s").alias("key"), "rep", "n", "shared", (F.col("n") - F.col("shared") - F.col("place")).alias("beyond"), "linked")
+    # Members of a hub that need share nothing else: one more bucket per hub, of those small enough.
+    least = F.ceil(percent * F.col("n") / 100)
+    inner = met.where((100 + percent) * F.col("shared") >= percent * (F.col("n") + least))
+    inner = inner.select(F.xxhash64("a", F.lit("hub")).alias("key"), F.col("b").alias("rep"), "n", "shared", F.lit(0).cast("long").alias("beyond"), "linked")
+    beside = beside.unionByName(inner)
     some = beside.groupBy("key").agg(F.count("*").alias("size"), F.bool_and("linked").alias("done")).where("size > 1 and not done")
     member = ["key", "rep", "n", "shared", "beyond"]
     bucket = stored(beside.join(some, "key").select(*member))
-    far = met.where("not linked and rest is not null").select("a", F.col("b").alias("x"), F.floor((100 + percent) * F.col("shared") / percent - F.col("n")).alias("most"), F.ceil(percent * F.col("n") / 100).alias("least"))
-    small = met.select("a", F.col("b").alias("y"), F.col("n").alias("ny")).join(far.where("most >= least"), "a").where("x <> y and ny <= most and ny >= least")
-    extra = small.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     leaders = 1
     while True:
@@ -193,8 +195,6 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = 25, rows: i
         led = now.where("leads").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("shared").alias("sx"), F.col("beyond").alias("ox"), F.col("root").alias("rx"))
         most = "least(shared, sx) + least(beyond, ox)"  # that two can share, if this is their first
         pairs = now.join(led, "key").where(f"root <> rx AND {100 + percent} * ({most}) >= {percent} * (n + nx)").select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
-        if leaders == 1:
-            pairs = pairs.union(extra).distinct()
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty() and now.isEmpty():
             break
