@@ -1,6 +1,5 @@
 """Training and scoring operators bound to the given tables."""
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
@@ -204,7 +203,7 @@ def _vectors(t: Tables):
 
 @query("kmeans_k")
 def kmeans_k(t: Tables):
-    best, _, scores = clusters.choose_k(_vectors(t), restarts=1)
+    best, _, scores = clusters.choose_k(_vectors(t))
     rows = [(k, score, k == best) for k, score in scores]
     return t.spark.createDataFrame(rows, "k INT, silhouette DOUBLE, chosen BOOLEAN")
 
@@ -217,6 +216,9 @@ def kmeans_profile(t: Tables):
     return clusters.cluster_profile(t.embeddings, model, names)
 
 
+# Rows a model of the trips is fitted and tested on, about; all rows are scored.
+TRAINED_ON = 500
+
 BUS_FEATURES = [
     "stops_count", "fine_particles_pm2_5", "temperature", "precip_mm", "cloud", "visibility_km",
     "humidity", "weather_condition",
@@ -228,10 +230,8 @@ def kmeans_score(t: Tables):
     """Every trip with the cluster a model trained on the complete trips assigns to it."""
     buses = buses_view(t).drop("cluster_id", "cluster_prediction_success")
     rows = features.complete_rows(buses, BUS_FEATURES)
-    preparation = features.feature_pipeline(rows, BUS_FEATURES)
-    vectors = preparation.transform(rows).select("features")
-    model = clusters.fit_kmeans(vectors, 4)
-    pipeline = PipelineModel(stages=[*preparation.stages, model])
+    trained = supervised.bounded(rows, "o_orderkey", TRAINED_ON, rows.count())
+    pipeline, _ = clusters.train_clusters(trained, features.feature_pipeline(trained, BUS_FEATURES))
     scored = scoring.score_cluster(buses, pipeline, BUS_FEATURES)
     return scored.select("o_orderkey", "cluster_id", "cluster_prediction_success")
 
@@ -241,7 +241,7 @@ def clf_score(t: Tables):
     """Every trip with the delay category predicted by the better of two classifiers."""
     rows = features.bus_targets(buses_view(t))
     trained = supervised.train_best(
-        rows, BUS_FEATURES, "delay_category", "multiclass", "o_orderkey", trees=10, depth=6
+        rows, BUS_FEATURES, "delay_category", "multiclass", "o_orderkey", bound=TRAINED_ON
     )
     scored = scoring.score_classes(
         rows, trained.model, BUS_FEATURES, "delay_category", DELAY_CATEGORY_LABELS,
@@ -258,7 +258,7 @@ def reg_score(t: Tables):
     """Every trip with the clipped delay forecast of the better of two regressors."""
     rows = features.bus_targets(buses_view(t))
     trained = supervised.train_best(
-        rows, BUS_FEATURES, "delay_target", "regression", "o_orderkey", trees=10, depth=6
+        rows, BUS_FEATURES, "delay_target", "regression", "o_orderkey", bound=TRAINED_ON
     )
     scored = scoring.score_regression(
         rows, trained.model, BUS_FEATURES, "average_delay_seconds"
@@ -267,3 +267,95 @@ def reg_score(t: Tables):
         "o_orderkey", "average_delay_seconds_prediction",
         "average_delay_seconds_prediction_original", "average_delay_seconds_prediction_success",
     )
+
+
+REGIONS_SQL = """
+WITH placed AS (
+  SELECT c_custkey, n_regionkey AS region, 1000.0 * n_regionkey + c_custkey % 5 AS x, c_custkey % 5 AS y
+  FROM customer JOIN nation ON c_nationkey = n_nationkey)
+"""
+
+
+def _regions(t: Tables):
+    """Customers as points, far apart between regions and close together within."""
+    nations = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_regionkey").alias("region"))
+    key = F.col("c_custkey")
+    return t.customer.join(F.broadcast(nations), "c_nationkey").select(
+        "c_custkey", F.col("region").cast("int").alias("region"),
+        (1000.0 * F.col("region") + key % 5).alias("x"), (key % 5).cast("double").alias("y"),
+    )
+
+
+@query(
+    "kmeans_regions",
+    REGIONS_SQL + """
+SELECT c_custkey, count(*) OVER (PARTITION BY region) AS members, (SELECT count(DISTINCT region) FROM placed)::INT AS k,
+       round(avg(x) OVER (PARTITION BY region), 4) AS centre_x, round(avg(y) OVER (PARTITION BY region), 4) AS centre_y
+FROM placed
+""",
+)
+def kmeans_regions(t: Tables):
+    """The chosen k and every customer's cluster, by its size and centre: the regions are found."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.sql import Window
+
+    assembler = VectorAssembler(inputCols=["x", "y"], outputCol="features")
+    points = assembler.transform(_regions(t))
+    k, _, _, model = clusters.best_fit(points)
+    centres = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in model.clusterCenters()])
+    found = model.transform(points).withColumn("centre", F.get(centres, F.col("prediction")))
+    return found.select(
+        "c_custkey", F.count(F.lit(1)).over(Window.partitionBy("prediction")).alias("members"), F.lit(k).alias("k"),
+        F.round(F.col("centre")[0], 4).alias("centre_x"), F.round(F.col("centre")[1], 4).alias("centre_y"),
+    )
+
+
+@query(
+    "forest_regions",
+    REGIONS_SQL + """
+SELECT c_custkey, c_custkey % 11 <> 0 AS ok, CASE WHEN c_custkey % 11 <> 0 THEN region END::INT AS class,
+       CASE WHEN c_custkey % 11 <> 0 THEN 'region ' || region END AS label,
+       CASE WHEN c_custkey % 11 <> 0 THEN 1.0::DOUBLE END AS total,
+       CASE WHEN c_custkey % 11 <> 0 THEN greatest(0.0, 100.0 * region - 50)::DOUBLE END AS forecast,
+       CASE WHEN c_custkey % 11 <> 0 THEN (100.0 * region - 50)::DOUBLE END AS original
+FROM placed
+""",
+)
+def forest_regions(t: Tables):
+    """Classes and forecasts of a full forest, chosen against its rival on the test part, for a label
+    and an amount that follow from the region. Every 11th customer lacks a feature at scoring."""
+    rows = _regions(t).withColumn("amount", 100.0 * F.col("region") - 50)
+    names = ["x", "y"]
+    kinds = supervised.train_best(rows, names, "region", "multiclass", "c_custkey", bound=TRAINED_ON)
+    amounts = supervised.train_best(rows, names, "amount", "regression", "c_custkey", bound=TRAINED_ON)
+    asked = rows.select("c_custkey", F.when(F.col("c_custkey") % 11 != 0, F.col("x")).alias("x"), "y")
+    scored = scoring.score_classes(asked, kinds.model, names, "region", {i: f"region {i}" for i in range(5)}, "?")
+    scored = scoring.score_regression(scored, amounts.model, names, "amount")
+    total = F.aggregate("region_probabilities", F.lit(0.0), lambda a, p: a + p)
+    return scored.select(
+        "c_custkey", F.col("region_prediction_success").alias("ok"), F.col("region_prediction").alias("class"),
+        F.col("region_label").alias("label"), F.round(total, 6).alias("total"),
+        F.round("amount_prediction", 4).alias("forecast"), F.round("amount_prediction_original", 4).alias("original"),
+    )
+
+
+@query(
+    "linear_fit",
+    """
+WITH fit AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a,
+                    regr_r2(l_extendedprice, l_quantity) AS r2 FROM lineitem)
+SELECT round(b, 4) AS slope, round(a, 3) AS intercept, round(r2, 6) AS r2,
+       round((SELECT sqrt(avg((l_extendedprice - a - b * l_quantity) ** 2)) FROM lineitem, fit), 3) AS rmse
+FROM fit
+""",
+)
+def linear_fit(t: Tables):
+    """The linear candidate over one feature, and its metrics over the rows it was fitted on."""
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = t.lineitem.select(F.col("l_quantity").cast("double").alias("q"), F.col("l_extendedprice").cast("double").alias("price"))
+    points = VectorAssembler(inputCols=["q"], outputCol="features").transform(rows)
+    model = supervised.candidates("regression", "price", 0)["LinearRegression"].fit(points)
+    measured = supervised.evaluate(model, "regression", "price", points)
+    values = (round(float(model.coefficients[0]), 4), round(model.intercept, 3), round(measured["r2"], 6), round(measured["rmse"], 3))
+    return t.spark.createDataFrame([values], "slope DOUBLE, intercept DOUBLE, r2 DOUBLE, rmse DOUBLE")

@@ -8,11 +8,11 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import DataFrame
 
-from velobus.ml.features import SEED
+from velobus.ml.features import SEED, packed
 
 K_RANGE = range(2, 9)
 RESTARTS = 10
-PARALLEL_FITS = 4
+PARALLEL_FITS = 8
 
 
 def fit_kmeans(
@@ -49,7 +49,7 @@ def best_fit(
 
     The vectors are read once and kept; every fit and every score runs on the kept copy.
     """
-    kept = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    kept = packed(vectors.select("features")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = kept.count()
         if rows < 2:

@@ -15,6 +15,14 @@ from velobus.operators.ordered import first_by_hash, with_slice
 
 TEST_ONE_IN = 5
 SEED = 42
+ROWS_PER_TASK = 20_000
+
+
+def packed(frame: DataFrame) -> DataFrame:
+    """The frame in no more partitions than its rows are worth: a learner visits them in hundreds of
+    small jobs, and a task costs more than a thousand rows."""
+    wanted = max(1, -(-frame.count() // ROWS_PER_TASK))
+    return frame.coalesce(wanted)
 
 
 def complete_rows(frame: DataFrame, features: list[str]) -> DataFrame:
