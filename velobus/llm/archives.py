@@ -111,30 +111,65 @@ def _arc_length(line: bytes) -> int:
     return int(last) if last.isdigit() else 0
 
 
-def arc_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """The documents of ARC files, their record lines read by the version that each file declares."""
-    fields, name, number = [], "", 0
+def arc_fields(block: bytes) -> list[str]:
+    """The names of a file's record lines: its own second line, else those of the version it states."""
+    lines = block.split(b"\n")
+    named = lines[1].decode("latin-1").split() if len(lines) > 1 else []
+    if named[:1] == ["URL"] and named[-1] == "Archive-length" and "Archive-date" in named:
+        return named
+    version = lines[0].split(b" ")[0]
+    return FIELDS[2 if version == b"2" else 1].split(" ")
+
+
+def _record_line(header: bytes, fields: list[str]) -> dict[str, str] | None:
+    """The fields of a record line, or None if it is none: too few, or no length or date of digits."""
+    values = header.decode("latin-1").rsplit(" ", len(fields) - 1)
+    line = dict(zip(fields, values, strict=False))
+    at = line.get("Archive-date", "")
+    fine = len(values) == len(fields) and line["Archive-length"].isdigit() and at.isdigit() and len(at) in (12, 14)
+    return line if fine else None
+
+
+def _http(block: bytes) -> tuple[bytes, bytes]:
+    """Head and payload of a block that holds an HTTP response; else no head, and all is payload."""
+    if block.startswith((b"HTTP/1", b"HTTP/0", b"HTTP/2")):
+        for end in (CRLF2, b"\n\n"):
+            head, found, payload = block.partition(end)
+            if found:
+                return head, payload
+    return b"", block
+
+
+def arc_documents(batches: Iterator[pa.RecordBatch], unread: bool = False) -> Iterator[dict]:
+    """The documents of ARC files, their record lines read by the fields that each file declares.
+
+    A line where a record should begin that is no record line is passed over, up to the next that
+    is; with ``unread`` such lines come instead of the documents.
+    """
+    fields, name, number = FIELDS[1].split(" "), "", 0
     for opens, header, block, whole in blocks(batches, b"\n", _arc_length):
-        if opens or header.startswith(b"filedesc:"):
-            declared = block.split(b"\n", 1)[0].split(b" ")
-            version = int(declared[0]) if declared and declared[0].isdigit() else 1
-            fields, number = FIELDS[version].split(" "), 0
+        if opens:
+            fields, name, number = FIELDS[1].split(" "), "", 0
+        if header.startswith(b"filedesc:"):
+            fields, number = arc_fields(block), 0
             name = header.split(b" ", 1)[0].decode("latin-1").removeprefix("filedesc://")
             continue
-        line = dict(zip(fields, header.rsplit(b" ", len(fields) - 1), strict=True))
-        http, found, payload = block.partition(CRLF2)
-        if not found:
-            http, payload = b"", block
+        line = _record_line(header, fields)
+        if line is None or unread:
+            if line is None and unread:
+                yield {"archive": name, "line": header.decode("latin-1"), "bytes": len(header)}
+            continue
+        http, payload = _http(block)
         number += 1
-        at = line["Archive-date"].decode("latin-1")
+        at = line["Archive-date"].ljust(14, "0")
         page = _header(http.split(b"\r\n"), b"x-page-id")
         yield {
             "record": f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{name}#{number}')}",
-            "url": line["URL"].decode("latin-1"),
-            "ip": line["IP-address"].decode("latin-1"),
+            "url": line["URL"],
+            "ip": line.get("IP-address", "0.0.0.0"),
             "date": f"{at[:4]}-{at[4:6]}-{at[6:8]}T{at[8:10]}:{at[10:12]}:{at[12:14]}Z",
-            "kind": line["Content-type"].decode("latin-1"),
-            "page_id": int(page) if page else None,
+            "kind": line.get("Content-type", "application/octet-stream"),
+            "page_id": int(page) if page and page.isdigit() else None,
             "http": http,
             "payload": payload,
             "bytes": len(payload),
@@ -190,7 +225,7 @@ def _warc_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             else:
                 block = r["http"] + CRLF2
                 more += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: <{r['refers']}>"]
-            kind = "response" if r["refers"] is None else "revisit"
+            kind = "revisit" if r["refers"] else "response" if r["http"] else "resource"
             content = "application/http; msgtype=response" if r["http"] else r["kind"]
             more += [f"WARC-Block-Digest: sha1:{digest_of(block)}", f"Content-Type: {content}"]
             out.append(_warc(kind, r["record"], r["date"], more, block))
@@ -209,7 +244,8 @@ def convert(spark: SparkSession, arc: str, warc: str, least: int = 0) -> None:
     (of several with that id, the first by record id) becomes a response, the others revisits that
     refer to it; smaller payloads and documents without a page id are all responses. Identifiers
     follow from the archive's name and the document's number in it, dates from the record line.
-    A document that its file cuts short is marked as truncated.
+    A document that its file cuts short is marked as truncated, one that is no HTTP response (such as
+    the answer of a name server) becomes a resource. What unread_lines() lists is left out.
     """
     lines = _lines(spark, arc, "\n")
     short = lines.mapInArrow(_rows_of(arc_documents, SHORT), "record string, page_id long, bytes long, digest string")
@@ -221,18 +257,28 @@ def convert(spark: SparkSession, arc: str, warc: str, least: int = 0) -> None:
     _write(rows.mapInArrow(_warc_records, "value binary"), "\r\n\r\n", warc)
 
 
+def unread_lines(spark: SparkSession, arc: str) -> DataFrame:
+    """(archive, line) of all lines of ARC archives that stand where a record should begin."""
+    find = _rows_of(lambda batches: arc_documents(batches, unread=True), {"archive": TEXT, "line": TEXT})
+    return _lines(spark, arc, "\n").mapInArrow(find, "archive string, line string")
+
+
 def _warc_length(header: bytes) -> int:
     return int(_header(header.split(b"\r\n"), b"content-length") or 0)
 
 
 def warc_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Responses and revisits of WARC files; of a response the digest is taken anew."""
+    """Responses, resources and revisits of WARC files; digests are taken anew where there is a payload.
+
+    Only a block that is declared to be HTTP has a head before its payload.
+    """
     for _, header, block, _ in blocks(batches, CRLF2, _warc_length):
         lines = header.split(b"\r\n")
         kind = (_header(lines, b"warc-type") or b"").decode("latin-1")
-        if kind not in ("response", "revisit"):
+        if kind not in ("response", "resource", "revisit"):
             continue
-        http, found, payload = block.partition(CRLF2)
+        declared = (_header(lines, b"content-type") or b"").lower()
+        http, _, payload = block.partition(CRLF2) if declared.startswith(b"application/http") else (b"", b"", block)
         page = _header(http.split(b"\r\n"), b"x-page-id")
         digest, size = digest_of(payload), len(payload)
         if kind == "revisit":
@@ -242,7 +288,7 @@ def warc_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield {
             "record": (_header(lines, b"warc-record-id") or b"").decode("latin-1").strip("<>"),
             "refers": refers.decode("latin-1").strip("<>") if refers else None,
-            "page_id": int(page) if page else None,
+            "page_id": int(page) if page and page.isdigit() else None,
             "bytes": size,
             "digest": digest,
             "kind": kind,
