@@ -81,6 +81,28 @@ def feed_stations(t: Tables):
     )
 
 
+@query(
+    "missing_keys",
+    """
+SELECT c_custkey::VARCHAR AS station_id,
+       CASE c_custkey % 3 WHEN 0 THEN 'S' || c_custkey WHEN 1 THEN 'Brak nazwy' END AS name,
+       CASE c_custkey % 4 WHEN 0 THEN 5 WHEN 1 THEN 0 WHEN 2 THEN NULL ELSE 0 END::INT AS capacity, 0 AS bikes_available
+FROM customer
+""",
+)
+def missing_keys(t: Tables):
+    """Customers as stations whose name and capacity are there, not there, or there and null; no
+    station has a status."""
+    k = F.col("c_custkey")
+    name = F.when(k % 3 == 0, F.concat(F.lit(',"name":"S'), k.cast("string"), F.lit('"'))).when(k % 3 == 1, "").otherwise(',"name":null')
+    capacity = F.when(k % 4 == 0, ',"capacity":5').when(k % 4 == 2, ',"capacity":null').when(k % 4 == 3, ',"capacity":0').otherwise("")
+    station = F.concat(F.lit('{"station_id":"'), k.cast("string"), F.lit('"'), name, capacity, F.lit("}"))
+    polls = t.customer.groupBy(F.floor(k / STATIONS_PER_POLL).cast("bigint").alias("poll")).agg(F.array_join(F.collect_list(station), ",").alias("all"))
+    info = polls.select(F.concat(F.lit('{"data":{"stations":['), "all", F.lit("]}}")).alias("value"), F.lit("document").alias("file"), "poll")
+    found = producers.stations_of(info, info.limit(0), None, F.lit(INGEST), exact=True)
+    return found.select("station_id", "name", "capacity", "bikes_available")
+
+
 @query(
     "feed_trips",
     """

@@ -339,6 +339,23 @@ def forest_regions(t: Tables):
     )
 
 
+@query(
+    "zero_fill",
+    REGIONS_SQL + "SELECT c_custkey, region::INT AS class, false AS plain FROM placed",
+)
+def zero_fill(t: Tables):
+    """Every customer's class where a column of the trained model is not there: 0 stands in for it
+    if that is asked for, else there is no prediction."""
+    rows, names = _regions(t), ["x", "y"]
+    trained = supervised.train_best(rows, names, "region", "multiclass", "c_custkey", bound=TRAINED_ON)
+    labels = {i: f"region {i}" for i in range(5)}
+    asked = rows.select("c_custkey", "x")
+    filled = scoring.score_classes(asked, trained.model, names, "region", labels, "?", zero_fill=True)
+    plain = scoring.score_classes(asked, trained.model, names, "plain", labels, "?")
+    both = filled.select("c_custkey", F.col("region_prediction").alias("class"))
+    return both.join(plain.select("c_custkey", F.col("plain_prediction_success").alias("plain")), "c_custkey")
+
+
 @query(
     "linear_fit",
     """

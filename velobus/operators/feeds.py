@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from velobus.schemas import NO_NAME
+
 
 def keep_last(frame: DataFrame, keys: list[str], position: Column) -> DataFrame:
     """Keep the row with the highest position per key; one row per key and task is shuffled."""
@@ -61,10 +63,12 @@ def merge_stations(
     prefix: str | None,
     ingest_ts: Column | None = None,
     snapshot: tuple[str, ...] = (),
+    exact: bool = False,
 ) -> DataFrame:
     """Station info left-joined to the last status per station, with defaults.
 
-    ``snapshot`` names the columns that tell polls apart: each poll is merged within itself.
+    ``snapshot`` names the columns that tell polls apart: each poll is merged within itself. With
+    ``exact`` the info has its defaults already (exact_station_info), and its nulls stay.
     """
     keys = [*snapshot, "station_id"]
     latest = keep_last(status, keys, status_position)
@@ -74,8 +78,8 @@ def merge_stations(
     merged = info.join(latest, keys, "left").select(
         ingest_ts.cast("bigint").alias("timestamp"),
         "station_id",
-        F.coalesce("name", F.lit("Brak nazwy")).alias("name"),
-        F.coalesce("capacity", zero).alias("capacity"),
+        F.col("name") if exact else F.coalesce("name", F.lit(NO_NAME)).alias("name"),
+        F.col("capacity") if exact else F.coalesce("capacity", zero).alias("capacity"),
         F.coalesce("num_bikes_available", zero).alias("bikes_available"),
         F.coalesce("num_docks_available", zero).alias("docks_available"),
         F.coalesce(type_counts(F.col("vehicle_types_available")), no_types).alias(

@@ -31,12 +31,17 @@ def station_messages(
 
 
 def stations_of(
-    info: DataFrame, status: DataFrame, prefix: str | None, ingest_ts: Column | None = None
+    info: DataFrame,
+    status: DataFrame,
+    prefix: str | None,
+    ingest_ts: Column | None = None,
+    exact: bool = False,
 ) -> DataFrame:
-    """The same from documents that are at hand, in any order."""
-    stations, states = documents.station_info(info), documents.station_status(status)
-    place = F.col("ord")
-    return feeds.merge_stations(stations.drop("ord"), states, place, prefix, ingest_ts, POLL)
+    """The same from documents that are at hand, in any order; with ``exact`` a name or capacity that
+    is null in its document stays null, and only one that is not there gets its default."""
+    stations = (documents.exact_station_info if exact else documents.station_info)(info)
+    states, place = documents.station_status(status), F.col("ord")
+    return feeds.merge_stations(stations.drop("ord"), states, place, prefix, ingest_ts, POLL, exact)
 
 
 def bus_messages(

@@ -30,6 +30,8 @@ WEATHER_DOC = (
     "so2: DOUBLE>>"
 )
 
+NO_NAME = "Brak nazwy"  # fixed value: the name of a station without one
+
 # --- topic messages ---------------------------------------------------------
 
 BIKE_MESSAGE = (

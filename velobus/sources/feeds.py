@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from velobus.schemas import (
     DEPARTURES_MAP,
+    NO_NAME,
     STATION_INFO_DOC,
     STATION_STATUS_DOC,
     VEHICLE_POSITIONS_DOC,
@@ -40,6 +41,26 @@ def station_info(documents: DataFrame) -> DataFrame:
     return _listed(documents, STATION_INFO_DOC, "data.stations")
 
 
+def exact_station_info(documents: DataFrame) -> DataFrame:
+    """As station_info(), with the defaults of keys that a station does not have at all; a key that
+    is there and null stays null."""
+    listed = F.try_variant_get(F.parse_json("value"), "$.data.stations", "array<variant>")
+    items = documents.select("poll", "file", F.posexplode(listed).alias("place", "v"))
+
+    def field(name: str, kind: str, default):
+        path = f"$.{name}"
+        absent = F.try_variant_get("v", path, "variant").isNull()
+        return F.when(absent, F.lit(default).cast(kind)).otherwise(F.try_variant_get("v", path, kind)).alias(name)
+
+    return items.select(
+        "poll",
+        F.struct("file", "place").alias("ord"),
+        F.try_variant_get("v", "$.station_id", "string").alias("station_id"),
+        field("name", "string", NO_NAME),
+        field("capacity", "int", 0),
+    )
+
+
 def station_status(documents: DataFrame) -> DataFrame:
     return _listed(documents, STATION_STATUS_DOC, "data.stations")
 
