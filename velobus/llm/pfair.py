@@ -206,7 +206,8 @@ def _placed(docs: DataFrame, weights, block: int, tempering: float, seed: int) -
     numbered = _numbered(rows, seed).join(F.broadcast(keys.withColumnRenamed("source", "_source")), "_key")
     numbered = numbered.withColumns({"block": F.expr(f"i div {block}"), "place": F.expr(f"i % {block}")})
     ran = ran.select(F.col("source").alias("_source"), "block", "slot")
-    placed = numbered.join(ran, ["_source", "block"])
+    # The schedule grows with the rows, so it is never broadcast, however small its files look.
+    placed = numbered.join(ran.hint("merge"), ["_source", "block"])
     # Only a source's last block can be short: so many rows are missing before a later slot.
     short = spark.createDataFrame([(k, b - 1, b * block - counted[s]) for k, (s, b) in enumerate(zip(names, blocks, strict=True)) if counted[s] % block], "_source int, block long, gap long")
     missing, gaps = 0, [{"slot": -1, "missing": 0}]
