@@ -99,27 +99,6 @@ def test_near_duplicates_of_a_family(spark):
         assert got == {k: v for k, (_, v) in grouped(texts, percent).items()}
 
 
-def test_comparisons_do_not_grow_with_a_family(spark, monkeypatch):
-    """Texts around the limit with one common part: all end in one component, and twice as many need
-    no more comparisons each."""
-    rng, common = random.Random(11), [f"c{i}" for i in range(460)]
-    counted = []
-    real = superminhash._verified
-    monkeypatch.setattr(superminhash, "_verified", lambda pairs, *more: counted.append(pairs.count()) or real(pairs, *more))
-    each = {}
-    for n in (60, 240):
-        texts = {}
-        for k in range(n):
-            own = [f"o{k}x{i}" for i in range(rng.randrange(30, 45))]
-            texts[k] = " ".join(common + own)
-        counted.clear()
-        frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-        got = {r.doc_id: r.component_id for r in superminhash.near_duplicates(frame).collect()}
-        each[n] = sum(counted) / n
-        assert got == {k: v for k, (_, v) in grouped(texts, 85).items()}
-    assert each[240] <= 2 * each[60] + 4
-
-
 def test_signatures_estimate_likeness():
     a, b = np.arange(300, dtype=np.uint64), np.arange(100, 400, dtype=np.uint64)
     both = np.concatenate([a, b, a[:1]])
