@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -70,6 +71,38 @@ def test_choose_k(spark):
     assert clusters.choose_k(vectors.limit(1))[:2] == (2, 0.0)
 
 
+def test_runs_share_their_passes(spark, monkeypatch):
+    """A round is one pass for all restarts of all k; every centre ends as the mean of its rows."""
+    from velobus.ml import restarts
+
+    rounds, assign = [], restarts._assign
+    monkeypatch.setattr(restarts, "_assign", lambda d, o, runs: rounds.append(len(runs)) or assign(d, o, runs))
+    rng = np.random.default_rng(2)
+    rows = rng.normal(1e6, 1, (500, 3))
+    frame = spark.createDataFrame([(r.tolist(),) for r in rows], "v ARRAY<DOUBLE>").repartition(5)
+    found = restarts.fit_all(frame.select(array_to_vector("v").alias("features")), [2, 3, 5], 4, 1)
+    assert rounds[0] == 12 and rounds == sorted(rounds, reverse=True) and len(rounds) <= restarts.ROUNDS
+    for k, centres in found.items():
+        assert centres.shape == (k, 3)
+        near = ((rows[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
+        means = np.array([rows[near == c].mean(axis=0) for c in range(k)])
+        assert np.abs(means - centres).max() < 1e-3
+    assert max(rounds) < sum(rounds) and restarts.fit_all(frame.select(array_to_vector("v").alias("features")), [3], 4, 1)[3].tolist() == found[3].tolist()
+
+
+def test_fewer_distinct_vectors_than_centres(spark):
+    frame = spark.createDataFrame([([1.0, 2.0],)] * 6 + [([3.0, 4.0],)] * 3, "v ARRAY<DOUBLE>")
+    vectors = frame.select(array_to_vector("v").alias("features"))
+    model = clusters.fit_kmeans(vectors, 4, restarts=2)
+    assert np.sort(model.clusterCenters(), axis=0) == pytest.approx(np.array([[1.0, 2.0], [3.0, 4.0]]))
+    assert {r["features"][0]: r["n"] for r in model.transform(vectors).groupBy("features", "prediction").agg(F.count("*").alias("n")).collect()} == {1.0: 6, 3.0: 3}
+    best, score, _ = clusters.choose_k(vectors, range(2, 4), restarts=2)
+    assert (best, score) == (2, pytest.approx(1.0))
+    assert clusters.choose_k(vectors.limit(3))[:2] == (2, 0.0)
+    with pytest.raises(ValueError):
+        clusters.fit_kmeans(vectors.limit(0), 2)
+
+
 def test_cluster_profile(spark):
     model = clusters.fit_kmeans(blobs(spark, [(0, 0), (10, 0)]), 2, restarts=1)
     rows = clusters.cluster_profile(spark.range(1), model, ["a", "b"]).collect()

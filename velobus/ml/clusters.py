@@ -2,37 +2,50 @@
 
 from multiprocessing.pool import ThreadPool
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import DataFrame, SparkSession
 
 from velobus.ml.features import SEED, packed
+from velobus.ml.restarts import fit_all
 
 K_RANGE = range(2, 9)
 RESTARTS = 10
-PARALLEL_FITS = 8
+PARALLEL_SCORES = 4
+ROWS_PER_TASK = 5_000  # each is compared with the centres of all runs
+
+
+def _model(spark: SparkSession, centres: np.ndarray, seed: int) -> KMeansModel:
+    """Spark's model with these centres: drawn without further rounds from a frame that holds just them."""
+    rows = [(row.tolist(),) for row in np.unique(centres, axis=0)]
+    frame = spark.createDataFrame(rows, "v ARRAY<DOUBLE>").coalesce(1)
+    points = frame.select(array_to_vector("v").alias("features"))
+    return KMeans(k=max(2, len(centres)), seed=seed, initMode="random", maxIter=0, featuresCol="features").fit(points)
+
+
+def _dealt(vectors: DataFrame) -> DataFrame:
+    most = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    return packed(vectors.select("features"), ROWS_PER_TASK, most)
 
 
 def fit_kmeans(
     vectors: DataFrame, k: int, restarts: int = RESTARTS, seed: int = SEED
 ) -> KMeansModel:
     """The restart with the lowest inertia; the first of equals."""
-
-    def fit(i: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed + i, maxIter=300, featuresCol="features").fit(vectors)
-
-    with ThreadPool(PARALLEL_FITS) as pool:
-        models = pool.map(fit, range(restarts))
-    return min(models, key=lambda m: m.summary.trainingCost)
+    centres = fit_all(_dealt(vectors), [k], restarts, seed)[k]
+    return _model(vectors.sparkSession, centres, seed)
 
 
 def silhouette(model: KMeansModel, vectors: DataFrame) -> float:
     """Mean silhouette; -1 when fewer than two clusters are in use."""
-    if sum(1 for size in model.summary.clusterSizes if size > 0) < 2:
+    scored = model.transform(vectors)
+    if scored.select("prediction").distinct().count() < 2:
         return -1.0
-    return ClusteringEvaluator(featuresCol="features").evaluate(model.transform(vectors))
+    return ClusteringEvaluator(featuresCol="features").evaluate(scored)
 
 
 def choose_k(
@@ -47,20 +60,20 @@ def best_fit(
 ) -> tuple[int, float, list[tuple[int, float]], KMeansModel | None]:
     """What choose_k() gives, and the model of the best k (None if nothing is valid).
 
-    The vectors are read once and kept; every fit and every score runs on the kept copy.
+    The vectors are read once and kept; every fit and every score runs on the kept copy. All runs
+    of all k share their passes over it.
     """
-    kept = packed(vectors.select("features")).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = _dealt(vectors).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         rows = kept.count()
         if rows < 2:
             return 2, 0.0, [], None
-        scores, models = [], {}
-        for k in ks:
-            if k >= rows:
-                scores.append((k, -1.0))
-                continue
-            models[k] = fit_kmeans(kept, k, restarts, seed)
-            scores.append((k, silhouette(models[k], kept)))
+        fitting = [k for k in ks if k < rows]
+        centres = fit_all(kept, fitting, restarts, seed) if fitting else {}
+        models = {k: _model(kept.sparkSession, c, seed) for k, c in centres.items()}
+        with ThreadPool(PARALLEL_SCORES) as pool:
+            found = dict(zip(fitting, pool.map(lambda k: silhouette(models[k], kept), fitting)))
+        scores = [(k, found.get(k, -1.0)) for k in ks]
     finally:
         kept.unpersist()
     best_k, best = max(scores, key=lambda s: (s[1], -s[0]))
