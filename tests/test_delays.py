@@ -107,3 +107,17 @@ def test_trend_of_a_large_trip_in_stretches(spark):
     stamped = frame.withColumn("at", F.timestamp_seconds("at"))
     found = delay_trend(stamped, ["trip"], ["at", "tie"], slices=8)
     assert {r["trip"]: (r["rises"], r["falls"]) for r in found.collect()} == want
+
+
+def test_tasks_are_packed_to_a_bounded_size(spark):
+    """A task of a trip's join, aggregation and sort takes many times what it reads."""
+    from velobus import session
+
+    before = spark.conf.get(session.ADVISORY)
+    try:
+        for given, want in (("64MB", 16 << 20), ("1g", 16 << 20), ("67108864b", 16 << 20), ("8m", 8 << 20), ("16k", 16 << 10)):
+            spark.conf.set(session.ADVISORY, given)
+            session.tune(spark)
+            assert session._bytes(spark.conf.get(session.ADVISORY)) == want
+    finally:
+        spark.conf.set(session.ADVISORY, before)
