@@ -56,3 +56,29 @@ def test_a_frequent_anchor_changes_nothing(docs):
     assert whole
     for limit in (2, 5):
         assert covered(limit=limit) == whole
+
+
+def test_stretches_are_taken_apart_a_few_at_a_time(monkeypatch):
+    """However many rows a batch has, no more than ``limit`` and one portion are held."""
+    import numpy as np
+    import pyarrow as pa
+
+    from velobus.llm import suffixes
+
+    rng = np.random.default_rng(3)
+    lead = np.sort(rng.integers(0, 60, 900))
+    body = [bytes(rng.integers(97, 99, 12).tolist()) for _ in lead]
+    columns = [pa.array(lead), pa.array(np.arange(900)), pa.array(np.zeros(900, np.int64)), pa.array(body, pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, names=["lead", "doc_id", "begin", "body"])
+    held, strings = [], suffixes._strings
+    monkeypatch.setattr(suffixes, "_strings", lambda table, span: held.append(table.num_rows) or strings(table, span))
+
+    def found(rows: int, limit: int) -> list[tuple]:
+        held.clear()
+        monkeypatch.setattr(suffixes, "ROWS", rows)
+        return sorted((tuple(r.values()) for b in suffixes._matched(8, limit)([batch]) for r in b.to_pylist()), key=str)
+
+    whole = found(1_000, 1_000)
+    assert max(held) > 500
+    assert found(7, 1_000) == whole and max(held) <= 60
+    assert found(7, 5) and max(held) <= 5 + 7

@@ -15,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velobus.llm.arrays import PIECE, mix, prefix_sums, slices, span_hashes, text_run
+from velobus.llm.arrays import mix, prefix_sums, slices, span_hashes, text_run
 from velobus.llm.shared import checkpointed, only, partitions
 
+PIECE = 1 << 19  # bytes worked on at a time: a dozen arrays of eight bytes for each of them
+ROWS = 2_000  # stretches taken apart at a time, each into some seventy strings
 PLACE = np.uint64((1 << 24) - 1)  # low bits of a hash that make room for a place in a piece
 
 
@@ -220,7 +222,7 @@ def _matched(span: int, limit: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, large = None, None
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             table = pa.Table.from_batches([batch])
             table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
             if not table.num_rows:
