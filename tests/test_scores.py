@@ -163,3 +163,22 @@ def test_index_finds_most_and_holds_all(spark, monkeypatch):
         assert row[1] == 5 * asked.count() and row[0] >= 0.9 * row[1]
     every = index.top_k(asked, 5, probes=64).select("query", "doc", "place")
     assert sorted(every.collect()) == sorted(exact.select("query", "doc", "place").collect())
+
+
+def test_queries_take_turns_within_a_block(monkeypatch):
+    """What a group holds at a time is bounded, also where most documents are equally near."""
+    import numpy as np
+    import pandas as pd
+
+    from velobus.evaluation import retrieval
+
+    rng = np.random.default_rng(5)
+    docs = [rng.normal(size=4) if i % 3 == 0 else np.ones(4) for i in range(300)]
+    documents = pd.DataFrame({"doc": range(300), "vector": docs})
+    queries = pd.DataFrame({"query": range(50), "vector": docs[:50]})
+    whole = retrieval.nearest_of(queries, documents, 4).reset_index(drop=True)
+    held, partition = [], np.partition
+    monkeypatch.setattr(np, "partition", lambda a, *b, **c: held.append(a.size) or partition(a, *b, **c))
+    monkeypatch.setattr(retrieval, "PRODUCTS", 1_000)
+    parts = retrieval.nearest_of(queries, documents, 4).reset_index(drop=True)
+    assert parts.equals(whole) and len(whole) == 200 and max(held) <= 1_000

@@ -13,6 +13,7 @@ from velobus.session import stored_copy
 
 SLICE = 20_000  # documents compared at a time
 BLOCK = 2_000  # queries compared at a time
+PRODUCTS = 2_000_000  # similarities held at a time
 SAMPLE = 20_000  # documents an index is fitted on, at most about twice as many
 
 
@@ -29,20 +30,26 @@ def nearest_of(queries: pd.DataFrame, documents: pd.DataFrame, k: int) -> pd.Dat
     """(query, doc, similarity): the k best of one slice for every query of one block.
 
     The product of the matrices only proposes; what it puts near the k-th best is multiplied again
-    pair by pair, so that equal vectors get equal similarities wherever they lie.
+    pair by pair, so that equal vectors get equal similarities wherever they lie. The queries take
+    turns: what is held depends on neither their number nor how many documents are equally near.
     """
     ids, names = queries["query"].to_numpy(), documents["doc"].to_numpy()
     left, right = _matrix(queries["vector"]), _matrix(documents["vector"])
-    rough = left @ right.T
-    place = max(rough.shape[1] - k, 0)
-    limit = np.partition(rough, place, axis=1)[:, place]
-    row, column = np.nonzero(rough >= limit[:, None] - 1e-9)
-    similarity = np.concatenate(
-        [(left[row[i : i + SLICE]] * right[column[i : i + SLICE]]).sum(axis=1) for i in range(0, len(row), SLICE)]
-    )
-    found = pd.DataFrame({"row": row, "doc": names[column], "similarity": similarity})
-    found = found.sort_values(["row", "similarity", "doc"], ascending=[True, False, True])
-    found = found.groupby("row").head(k)
+    place = max(len(right) - k, 0)
+    step = max(1, PRODUCTS // len(right))
+    best = []
+    for first in range(0, len(left), step):
+        rough = left[first : first + step] @ right.T
+        limit = np.partition(rough, place, axis=1)[:, place]
+        row, column = np.nonzero(rough >= limit[:, None] - 1e-9)
+        row += first
+        similarity = np.concatenate(
+            [(left[row[i : i + SLICE]] * right[column[i : i + SLICE]]).sum(axis=1) for i in range(0, len(row), SLICE)]
+        )
+        found = pd.DataFrame({"row": row, "doc": names[column], "similarity": similarity})
+        found = found.sort_values(["row", "similarity", "doc"], ascending=[True, False, True])
+        best.append(found.groupby("row").head(k))
+    found = pd.concat(best)
     return pd.DataFrame({"query": ids[found["row"]], "doc": found["doc"], "similarity": found["similarity"]})
 
 
