@@ -182,3 +182,17 @@ def test_queries_take_turns_within_a_block(monkeypatch):
     monkeypatch.setattr(retrieval, "PRODUCTS", 1_000)
     parts = retrieval.nearest_of(queries, documents, 4).reset_index(drop=True)
     assert parts.equals(whole) and len(whole) == 200 and max(held) <= 1_000
+
+
+def test_an_index_places_few_rows_at_a_time(spark, monkeypatch):
+    import numpy as np
+
+    from velobus.evaluation import retrieval
+
+    index = object.__new__(retrieval.CoarseIndex)
+    index.centres = retrieval.unit(np.random.default_rng(1).normal(size=(8, 3)))
+    frame = spark.range(60).coalesce(1).selectExpr("id AS query", "array(id - 20.0D, 1.0D, id % 7 - 3.0D) AS vector")
+    whole = sorted(map(tuple, index._cells(frame, "query", 5).select("cell", "query").collect()))
+    monkeypatch.setattr(retrieval, "PLACED", 20)
+    parts = index._cells(frame, "query", 5)
+    assert sorted(map(tuple, parts.select("cell", "query").collect())) == whole and len(whole) == 300

@@ -14,6 +14,7 @@ from velobus.session import stored_copy
 SLICE = 20_000  # documents compared at a time
 BLOCK = 2_000  # queries compared at a time
 PRODUCTS = 2_000_000  # similarities held at a time
+PLACED = 20_000  # rows handed on at a time when an index places them
 SAMPLE = 20_000  # documents an index is fitted on, at most about twice as many
 
 
@@ -134,10 +135,12 @@ class CoarseIndex:
             for batch in batches:
                 if batch.empty:
                     continue
-                near = np.argsort(-(_matrix(batch["vector"]) @ centres.T), axis=1, kind="stable")[:, :probes]
-                out = batch.loc[batch.index.repeat(near.shape[1])].copy()
-                out.insert(0, "cell", near.ravel().astype(np.int32))
-                yield out
+                for first in range(0, len(batch), max(1, PLACED // probes)):
+                    part = batch.iloc[first : first + max(1, PLACED // probes)]
+                    near = np.argsort(-(_matrix(part["vector"]) @ centres.T), axis=1, kind="stable")[:, :probes]
+                    out = part.loc[part.index.repeat(near.shape[1])].copy()
+                    out.insert(0, "cell", near.ravel().astype(np.int32))
+                    yield out
 
         return frame.select(name, "vector").mapInPandas(assign, f"cell int, {name} {kind}, vector {values}")
 
