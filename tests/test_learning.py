@@ -103,6 +103,18 @@ def test_fewer_distinct_vectors_than_centres(spark):
         clusters.fit_kmeans(vectors.limit(0), 2)
 
 
+def test_a_learners_few_tasks_do_not_read_the_tables(spark):
+    """What few tasks hold comes to them by a shuffle; the joins before it stay spread."""
+    joined = spark.range(400).repartition(40).withColumn("at", F.spark_partition_id())
+    kept = features.packed(joined)
+    assert kept.rdd.getNumPartitions() == 1 and kept.count() == 400
+    assert kept.select("at").distinct().count() == 40
+    assert features.packed(joined, rows=10).rdd.getNumPartitions() == 40
+    assert features.packed(joined, rows=10, most=6).rdd.getNumPartitions() == 6
+    assert features.packed(joined, rows=1, most=6).rdd.getNumPartitions() == 20
+    assert kept.collect() == features.packed(joined).collect()
+
+
 def test_cluster_profile(spark):
     model = clusters.fit_kmeans(blobs(spark, [(0, 0), (10, 0)]), 2, restarts=1)
     rows = clusters.cluster_profile(spark.range(1), model, ["a", "b"]).collect()
