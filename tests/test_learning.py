@@ -115,6 +115,24 @@ def test_a_learners_few_tasks_do_not_read_the_tables(spark):
     assert kept.collect() == features.packed(joined).collect()
 
 
+def test_a_large_cluster_stays_spread(spark, tmp_path):
+    """Nine customers of ten in one region: its size is known to all of them, no task holds them."""
+    from velobus.bindings.learning import kmeans_regions
+    from velobus.bindings.registry import Tables
+
+    region = F.when(F.col("id") % 10 == 0, F.floor(F.col("id") / 10) % 4 + 1).otherwise(0)
+    customers = spark.range(2000).select(F.col("id").alias("c_custkey"), region.cast("int").alias("c_nationkey"))
+    customers.repartition(6).write.parquet(f"{tmp_path}/customer.parquet")
+    nations = spark.range(5).select(F.col("id").cast("int").alias("n_nationkey"), F.col("id").cast("int").alias("n_regionkey"))
+    nations.write.parquet(f"{tmp_path}/nation.parquet")
+    rows = kmeans_regions(Tables(spark, str(tmp_path))).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r["c_custkey"] for r in rows}) == len(rows) == 2000
+    sizes = {round(r["centre_x"] / 1000): r["members"] for r in rows}
+    assert sizes == {0: 1800, 1: 50, 2: 50, 3: 50, 4: 50} and {r["k"] for r in rows} == {5}
+    tasks = [r["task"] for r in rows if r["members"] == 1800]
+    assert len(set(tasks)) > 2 and max(map(tasks.count, set(tasks))) < 900
+
+
 def test_cluster_profile(spark):
     model = clusters.fit_kmeans(blobs(spark, [(0, 0), (10, 0)]), 2, restarts=1)
     rows = clusters.cluster_profile(spark.range(1), model, ["a", "b"]).collect()

@@ -3,6 +3,7 @@
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -21,9 +22,8 @@ ROWS_PER_TASK = 5_000  # each is compared with the centres of all runs
 
 def _model(spark: SparkSession, centres: np.ndarray, seed: int) -> KMeansModel:
     """Spark's model with these centres: drawn without further rounds from a frame that holds just them."""
-    rows = [(row.tolist(),) for row in np.unique(centres, axis=0)]
-    frame = spark.createDataFrame(rows, "v ARRAY<DOUBLE>").coalesce(1)
-    points = frame.select(array_to_vector("v").alias("features"))
+    rows = pa.table({"v": np.unique(centres, axis=0).tolist()})  # from Arrow: no Python worker reads it
+    points = spark.createDataFrame(rows).coalesce(1).select(array_to_vector("v").alias("features"))
     return KMeans(k=max(2, len(centres)), seed=seed, initMode="random", maxIter=0, featuresCol="features").fit(points)
 
 
